@@ -108,7 +108,8 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     alone = keys.where("not again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     some = keys.where("again")
     best = some.groupBy("sha").agg(F.max(F.struct("n", (-F.col("doc_id")).alias("minus"))).alias("best"), F.count("*").alias("group_size"))
-    shared = some.join(best, "sha").select("doc_id", (-F.col("best.minus")).alias("keep_id"), "group_size", "sha")
+    # Written, so that the join has exchanges of its own and a very large group can be split.
+    shared = some.join(written(best, "groups"), "sha").select("doc_id", (-F.col("best.minus")).alias("keep_id"), "group_size", "sha")
     return alone.union(shared).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
