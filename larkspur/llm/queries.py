@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, simhash, token_files
+from . import bpe, embedding_dedup, exact_dedup, packing, simhash, token_files, toxicity, url_filter, warc
 from .common import new_path
 
 
@@ -24,7 +24,13 @@ def _vocabulary(name: str) -> str:
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-files")
     token_files.save(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), folder)
-    return token_files.digest(token_files.read(spark, folder))
+    return token_files.digest(spark, folder)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    got = toxicity.scored(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return got.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,19 +50,51 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(docs, _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.groups(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_url_filter": op7_url_filter,
     "op8_packing": op8_packing,
+    "op9_warc": op9_warc,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_embedding_dedup": """
+        WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL),
+        n AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS len FROM e),
+        l AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE a.len > 0 AND b.len > 0 AND list_dot_product(a.v, b.v) / (a.len * b.len) >= 0.98),
+        r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a, min(b) AS low FROM r GROUP BY a),
+        d AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+        SELECT vec_id, coalesce(k, 0) AS n_links, least(coalesce(low, vec_id), vec_id) AS component_id,
+               least(coalesce(low, vec_id), vec_id) = vec_id AS kept
+        FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN d ON d.a = vec_id""",
     "op5_exact_dedup": r"""
         WITH d AS (
           SELECT doc_id, coalesce(text, '') AS t,
