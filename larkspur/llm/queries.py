@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, packing, simhash, token_files, toxicity, url_filter, warc
+from . import bpe, embedding_dedup, exact_dedup, html_text, packing, simhash, token_files, toxicity, url_filter, warc
 from .common import new_path
 
 
@@ -21,6 +21,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_table(spark, sf_dir, "pages"), url_filter.host_of("url"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-files")
     token_files.save(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), folder)
@@ -71,6 +75,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_token_files": op2_token_files,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,

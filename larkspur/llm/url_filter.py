@@ -58,6 +58,16 @@ def probability(host: str, path: str, w: np.ndarray, b: float) -> float:
     return float(1 / (1 + np.exp(-(w[g].sum() / np.sqrt(max(len(g), 1)) + b))))
 
 
+def rest_of(url_col: str) -> Column:
+    """What follows the first ://, or an empty string."""
+    url = f"coalesce(`{url_col}`, '')"
+    return F.expr(f"CASE WHEN instr({url}, '://') > 0 THEN substring({url}, instr({url}, '://') + 3) ELSE '' END")
+
+
+def host_of(url_col: str) -> Column:
+    return F.translate(F.regexp_extract(rest_of(url_col), r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits and its action, or nulls."""
     if len(rules) > MAX_RULES:
@@ -83,9 +93,7 @@ def judged(pages: DataFrame, examples=EXAMPLES, rules=RULES, id_col: str = "page
         w, b = held.value
         return pa.array([probability(h, p, w, b) for h, p in zip(host.to_pylist(), path.to_pylist(), strict=True)], pa.float64())
 
-    url = F.coalesce(F.col(url_col), F.lit(""))
-    rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring(coalesce(`{url_col}`, ''), instr(coalesce(`{url_col}`, ''), '://') + 3)")).otherwise(F.lit(""))
-    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rest, host = rest_of(url_col), host_of(url_col)
     parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     scored = parts.select("*", rule.alias("rule"), action.alias("action"), model("host", "path").alias("block_probability"))
