@@ -60,7 +60,7 @@ def cells(group: np.ndarray, unit: np.ndarray, threshold: float) -> Iterator[tup
             for c1, ok1 in other:
                 at = np.flatnonzero(ok0 & ok1)
                 own = (c0 == home[:, 0]) & (c1 == home[:, 1] if len(options) > 1 else True)
-                key = _mix(group[at], np.full(len(at), b), c0[at], c1[at])
+                key = _mix(group[at], np.full(len(at), b), np.full(len(at), dims), c0[at], c1[at])
                 yield at, key, own[at], np.ascontiguousarray(x[at], "<f4")
 
 

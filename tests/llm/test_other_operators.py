@@ -54,7 +54,11 @@ def test_html_table(spark):
     data = [(i, f"http://h{i % 2}.example/{i}", PAGE.format(n=i, tag="article"), "x") for i in range(300)] + [(None, None, None, "x"), (7, "no url", "<p>a", None)]
     pages = spark.createDataFrame(data, "page_id long, url string, html string, text string")
     got = html_text.main_text(pages, url_filter.host_of("url")).collect()
-    assert sorted((r.page_id or -1, r.url or "", r.text, r.n_chars) for r in got) == sorted((i or -1 if i is None else i, u or "", t, len(t)) for i, u, t in [(i, u, f"Title {i} & more\nFirst {i} line second\nPar {i}" if i is not None and s != "<p>a" else "a" if s else "") for i, u, s, _ in data])
+    want = []
+    for i, u, source, _ in data:
+        text = "" if source is None else "a" if source == "<p>a" else f"Title {i} & more\nFirst {i} line second\nPar {i}"
+        want.append((repr(i), repr(u), text, len(text)))
+    assert sorted((repr(r.page_id), repr(r.url), r.text, r.n_chars) for r in got) == sorted(want)
     assert html_text.main_text(pages.limit(0), url_filter.host_of("url")).count() == 0
 
 
