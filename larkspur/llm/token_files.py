@@ -21,7 +21,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -141,17 +140,20 @@ def write(tokens: DataFrame, folder: str) -> None:
     ordered.mapInArrow(blocks, "value binary").select(F.col("value").cast("string")).write.text(f"{folder}/blocks", lineSep="\n")
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
+def read(spark: SparkSession, folder: str, digests: bool = False) -> DataFrame:
     """(doc_id, part, before, ids binary of little-endian uint32) of every document in the files of a folder.
 
-    `before`: ids of the part's documents before this one.
+    `before`: ids of the part's documents before this one. With `digests` their
+    number and CRC-32 stand in place of the ids: n_tokens, ids_crc32.
     """
     table = spark.read.parquet(f"{folder}/ranks").toPandas()
     ids_of = np.zeros(max(1, len(table)), "<u4")
     ids_of[table["rank"].to_numpy()] = table["id"].to_numpy()
     held = spark.sparkContext.broadcast(ids_of)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "part", "before", *(["n_tokens", "ids_crc32"] if digests else ["ids"])]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
                 raw, at = memoryview(content.as_buffer()), 0
@@ -166,30 +168,18 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     ids = held.value[decode(np.frombuffer(raw, np.uint8, nc, at), np.frombuffer(raw, np.uint8, nd, at + nc))]
                     at += nc + nd + 1
                     first = np.cumsum(-(-n // 4) * 4) - -(-n // 4) * 4
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(doc_id, mask=doc_id == NO_ID), pa.array(np.full(docs, part, np.int32)), pa.array(before + np.cumsum(n) - n),
-                            pa.array([ids[s : s + k].tobytes() for s, k in zip(first.tolist(), n.tolist(), strict=True)], pa.binary()),
-                        ],
-                        ["doc_id", "part", "before", "ids"],
-                    )
+                    cut = [ids[s : s + k] for s, k in zip(first.tolist(), n.tolist(), strict=True)]
+                    own = [pa.array(n), pa.array([zlib.crc32(x) for x in cut], pa.int64())] if digests else [pa.array([x.tobytes() for x in cut], pa.binary())]
+                    cols = [pa.array(doc_id, mask=doc_id == NO_ID), pa.array(np.full(docs, part, np.int32)), pa.array(before + np.cumsum(n) - n), *own]
+                    yield pa.RecordBatch.from_arrays(cols, names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{folder}/blocks").select("content")
-    return files.mapInArrow(parse, "doc_id long, part int, before long, ids binary")
-
+    return files.mapInArrow(parse, "doc_id long, part int, before long, " + ("n_tokens long, ids_crc32 long" if digests else "ids binary"))
 
-def digest(read_back: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from what read() returns."""
-
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = b.column(3).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64())],
-                ["doc_id", "part", "before", "n_tokens", "ids_crc32"],
-            )
 
-    rows = written(read_back.mapInArrow(crc, "doc_id long, part int, before long, n_tokens long, ids_crc32 long"), "digest")
+def digest(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files of a folder."""
+    rows = written(read(spark, folder, digests=True), "digest")
     sizes = rows.groupBy("part").agg(F.sum("n_tokens").alias("size"))  # one row a file
     base = sizes.select("part", (F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")).alias("base"))
     return rows.join(base, "part").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -26,8 +26,7 @@ _WHITE = (
     b"\xe2\x80\x80", b"\xe2\x80\x81", b"\xe2\x80\x82", b"\xe2\x80\x83", b"\xe2\x80\x84", b"\xe2\x80\x85", b"\xe2\x80\x86", b"\xe2\x80\x87",
     b"\xe2\x80\x88", b"\xe2\x80\x89", b"\xe2\x80\x8a", b"\xe2\x80\x8b", b"\xe2\x80\xa8", b"\xe2\x80\xa9", b"\xe2\x80\xaf", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\xef\xbb\xbf",
 )
-_WHITE_THEN_SPACE = re.compile(b"^ |(?:" + b"|".join(map(re.escape, _WHITE)) + b") ")
-_ANY_WHITE_INSIDE = re.compile(b".(?:" + b"|".join(map(re.escape, _WHITE)) + b")", re.DOTALL)
+_WHITE_THEN_SPACE = tuple(w + b" " for w in _WHITE)
 _ENDS_IN_POINT = re.compile(rb"[A-Za-z0-9][.,;:!?]\Z")
 
 
@@ -36,7 +35,7 @@ def spaced_chunks(text: bytes) -> list[bytes]:
     if not text:
         return []
     first, *rest = text.split(b" ")
-    if not _WHITE_THEN_SPACE.search(text):
+    if text[:1] != b" " and not any(w in text for w in _WHITE_THEN_SPACE):
         return [first, *[b" " + p for p in rest]]
     out = [first]
     for p in rest:
@@ -56,18 +55,26 @@ class ChunkEncoder:
     """Ids of texts as little-endian uint16 bytes; equal to encoding each whole text with the library.
 
     `drops_space`: the tokenizer lower-cases and drops white space; otherwise a
-    chunk keeps the space before it. `limit`: chunks kept before starting anew
-    (about 200 bytes each).
+    chunk keeps the space before it. `limit`: chunks after which a new generation
+    begins; the one before it is kept as well (about 150 bytes a chunk).
     """
 
-    def __init__(self, path: str, drops_space: bool, limit: int = 1_200_000) -> None:
+    def __init__(self, path: str, drops_space: bool, limit: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
+        # Chunks that need not all of the tokenizer's steps: ASCII ones come as a normalizer that lower-cases
+        # would leave them, and a space with letters after it is one match of the pattern for splitting.
+        self.simple = Tokenizer.from_file(path)
+        self.simple.encode_special_tokens = True
+        if drops_space:
+            self.simple.normalizer = normalizers.Sequence([])
+        else:
+            self.simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.drops_space, self.limit = drops_space, limit
         self.split = bare_chunks if drops_space else spaced_chunks
         self.mark = b" ^ " if drops_space else b"\n"
@@ -75,47 +82,67 @@ class ChunkEncoder:
         if len(self.mark_id) != 1:
             raise ValueError("the mark between chunks has to be one token")
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _ids(self, text: bytes, simple: bool = False) -> np.ndarray:
+        t = self.simple if simple else self.tokenizer
+        return np.array(t.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.uint16)
+
+    def _simple(self, c: bytes) -> bool:
+        return c.isascii() if self.drops_space else c[1:].isalpha()  # bytes.isalpha knows ASCII only
 
-    def _ids(self, text: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.uint16)
+    def _alone(self, c: bytes) -> bool:
+        """Whether a chunk has to be encoded without others around it."""
+        if self.drops_space:
+            return b"^" in c
+        return c[:1] != b" " or b"\n" in c or c.endswith(_WHITE) or c[1:].startswith(_WHITE)
 
     def _learn(self, chunks: Iterable[bytes]) -> None:
+        known, alone = self.known, self._alone
         parts: dict[bytes, tuple[bytes, bytes]] = {}
-        plain, odd = set(), set()
+        todo = {True: set(), False: set()}  # by whether they are simple
         for c in chunks:
             heads = (c,)
-            if len(c) > 2 and _ENDS_IN_POINT.search(c):  # a letter and a point are never one token
+            if _ENDS_IN_POINT.search(c) and len(c) > 2:  # a letter and a point are never one token
                 heads = parts[c] = (c[:-1], c[-1:])
             for h in heads:
-                if h not in self.known:
-                    (odd if b"^" in h or _ANY_WHITE_INSIDE.search(h) or not self.drops_space and h[:1] != b" " else plain).add(h)
-        todo = list(plain)
-        for i in range(0, len(todo), 4096):
-            some = todo[i : i + 4096]
-            ids = self._ids(self.mark.join(some))
-            cut = np.flatnonzero(ids == self.mark_id[0])
-            if len(cut) != len(some) - 1:
-                raise RuntimeError("chunks and marks don't match")
-            raw = ids.astype("<u2").tobytes()
-            for c, s, e in zip(some, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
-                self.known[c] = raw[2 * s : 2 * e]
-        for c in odd:
-            self.known[c] = self._ids(c).astype("<u2").tobytes()
+                if h not in known:
+                    if alone(h):
+                        known[h] = self._ids(h).astype("<u2").tobytes()
+                    else:
+                        todo[self._simple(h)].add(h)
+        for simple, some_of in ((k, list(v)) for k, v in todo.items()):
+            for i in range(0, len(some_of), 4096):
+                some = some_of[i : i + 4096]
+                ids = self._ids(self.mark.join(some), simple)
+                cut = np.flatnonzero(ids == self.mark_id[0])
+                if len(cut) != len(some) - 1:
+                    raise RuntimeError("chunks and marks don't match")
+                raw = ids.astype("<u2").tobytes()
+                for c, s, e in zip(some, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
+                    known[c] = raw[2 * s : 2 * e]
         for c, (a, b) in parts.items():
-            self.known[c] = self.known[a] + self.known[b]
+            known[c] = known[a] + known[b]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
         for i in range(0, len(texts), 64):
             split = [self.split(t) for t in texts[i : i + 64]]
-            known = self.known
-            new = {c for chunks in split for c in chunks if c not in known}
+            got = [list(map(self.known.get, chunks)) for chunks in split]
+            holes = [[k for k, x in enumerate(ids) if x is None] if None in ids else () for ids in got]
+            new = {chunks[k] for chunks, at in zip(split, holes, strict=True) for k in at}
             if new:
-                if len(known) + len(new) > self.limit:
-                    known.clear()
+                if len(self.known) + len(new) > self.limit:
+                    self.known, self.old = {}, self.known
                     new = {c for chunks in split for c in chunks}
-                self._learn(new)
-            out += [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+                    holes = [range(len(chunks)) for chunks in split]
+                old = self.old
+                self.known |= {c: x for c in new if (x := old.get(c)) is not None}
+                self._learn(c for c in new if c not in self.known)
+                for chunks, ids, at in zip(split, got, holes, strict=True):
+                    for k in at:
+                        ids[k] = self.known[chunks[k]]
+            out += [b"".join(ids) for ids in got]
         return out
 
 
