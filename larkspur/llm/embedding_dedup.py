@@ -130,12 +130,15 @@ def links(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE) -> Data
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for s in range(0, whole.num_rows, 4096):
-                r = whole.slice(s, 4096)
-                x, y = _vectors(r.column(2)), _vectors(r.column(3))
-                # Scaled first, so that no square overflows or vanishes.
-                x, y = x / np.abs(x).max(axis=1, keepdims=True), y / np.abs(y).max(axis=1, keepdims=True)
-                cos = (x * y).sum(axis=1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(cos >= threshold)) for c in r.columns[:2]], ["a", "b"])
+                part = whole.slice(s, 4096)
+                size = np.array([len(v) for v in part.column(2).to_pylist()])
+                for n in np.unique(size):
+                    r = part.filter(pa.array(size == n))
+                    x, y = _vectors(r.column(2)), _vectors(r.column(3))
+                    # Scaled first, so that no square overflows or vanishes.
+                    x, y = x / np.abs(x).max(axis=1, keepdims=True), y / np.abs(y).max(axis=1, keepdims=True)
+                    cos = (x * y).sum(axis=1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+                    yield pa.RecordBatch.from_arrays([c.filter(pa.array(cos >= threshold)) for c in r.columns[:2]], ["a", "b"])
 
     one = vectors.select(F.col("id").alias("a"), F.col("grp").alias("g1"), F.col("v").alias("v1"))
     two = vectors.select(F.col("id").alias("b"), F.col("grp").alias("g2"), F.col("v").alias("v2"))
