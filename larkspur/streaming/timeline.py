@@ -24,7 +24,7 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events of each type in each window of time, late ones up to the watermark."""
     w = F.window("ts", window)
-    return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
 def ingest(events: DataFrame, path: str) -> StreamingQuery:
