@@ -780,3 +780,66 @@ def generate_small_world(spark, d):
 @query("SELECT 200 AS sources")
 def generate_preferential(spark, d):
     return generators.preferential_attachment(spark, 201, 3).edges.where("dst >= 0 and dst < src").agg(F.countDistinct("src").cast("int").alias("sources"))
+
+
+@query(f"WITH {GEO} SELECT type, count(*) AS n FROM geo WHERE src <> 2000000000003 AND dst <> 2000000000003 GROUP BY type UNION ALL SELECT 'NEAR', 1")
+def change_relationships(spark, d):
+    g = tables.geography(spark, d).delete_nodes(ids(spark, 2 * tables.STEP + 3))
+    g = g.create_relationships(spark.createDataFrame([(1, 2 * tables.STEP, 2 * tables.STEP + 1, "NEAR")], "eid long, src long, dst long, type string"))
+    return g.delete_relationships(spark.createDataFrame([(-1,)], "eid long")).edges.groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {GEO} SELECT label, count(segment) AS n FROM (SELECT label, CASE WHEN segment <> 'BUILDING' THEN segment END AS segment FROM geo_nodes) GROUP BY label")
+def remove_property(spark, d):
+    g = tables.geography(spark, d).remove_property("segment", F.coalesce(F.col("segment") == "BUILDING", F.lit(False)))
+    return g.nodes.groupBy("label").agg(F.count("segment").alias("n"))
+
+
+@query(f"WITH {GEO} SELECT type, count(*) AS n FROM geo GROUP BY type")
+def bulk_load(spark, d):
+    """Writes the graph by kind and reads it back."""
+    from .plans.steps import new_path
+
+    path = new_path(spark, "graph")
+    tables.write_graph(tables.geography(spark, d), path)
+    return tables.read_graph(spark, path).edges.groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH RECURSIVE {RING}, {REACH.format(k=3)}, low AS (SELECT id, min(depth) AS depth FROM reach WHERE depth < 3 GROUP BY id) SELECT DISTINCT eid FROM low JOIN ring ON src = id WHERE type = 'HOP'")
+def last_type_filter(spark, d):
+    t = Traversal(RING_OUT, traversal.RELATIONSHIP_GLOBAL, max_depth=3).filter(F.col("last_type").isin("HOP"))
+    return traversal.relationships(t.traverse(tables.ring(spark, d), ids(spark, 0))).select("eid")
+
+
+@query(f"WITH {GEO} SELECT eid AS node FROM geo WHERE type = 'IN_REGION'")
+def index_of_relationships(spark, d):
+    return index.get(index.build(tables.geography(spark, d).edges, ["type"], "eid"), "type", "IN_REGION")
+
+
+@query(f"WITH {QUADS} SELECT DISTINCT ctx FROM quads")
+def statement_contexts(spark, d):
+    return rdf.contexts(_statements(spark, d))
+
+
+@query(f"WITH {QUADS} SELECT s FROM quads WHERE p = 'name'")
+def statement_metadata(spark, d):
+    q = _statements(spark, d).withColumn("meta", F.create_map().cast("map<string,string>"))
+    return rdf.with_metadata(q, "source", F.lit("import"), F.col("p") == "name").where("meta['source'] = 'import'").select("s")
+
+
+@query(f"WITH {QUADS} SELECT p AS type, count(*) AS n FROM quads WHERE kind <> 'literal' GROUP BY p")
+def statements_as_graph(spark, d):
+    return rdf.as_graph(_statements(spark, d)).edges.groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, len(list_distinct(string_split(text, ' '))) AS words FROM documents")
+def array_as_set(spark, d):
+    docs = tables.table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("w"))
+    return docs.select("doc_id", F.size(P.as_set(F.col("w"), True)).cast("long").alias("words"))
+
+
+@query("SELECT o_custkey, sum(o_totalprice) > 500000 AS large FROM orders GROUP BY o_custkey")
+def sparse_matrix_times_vector(spark, d):
+    o = tables.table(spark, d, "orders")
+    got = centrality.mat_vec(o.select(F.col("o_custkey").alias("row"), F.col("o_orderkey").alias("col"), F.col("o_totalprice").alias("value")), o.select(F.col("o_orderkey").alias("col"), F.lit(1.0).alias("value")))
+    return got.select(F.col("row").alias("o_custkey"), (F.col("value") > 500000).alias("large"))
