@@ -37,7 +37,7 @@ def test_html_text_of_slots():
 
 @pytest.mark.parametrize(
     ("source", "text"),
-    [("", ""), ("no markup at all", "no markup at all"), ("<article>a &lt;b&gt; &#233;&#x41;</article>", "a <b> éA"), ("<p>1 < 2 <p>x", "1 < 2\nx"), ("<article><!-- c --><p>a<script>b</p>", "a"), ("<article><p title='>'>q</p><p>" + "w " * 5000, "q\n" + ("w " * 5000).strip())],
+    [("", ""), ("no markup at all", "no markup at all"), ("<article>a &lt;b&gt; &#233;&#x41;</article>", "a <b> éA"), ("<p>1 < 2 <p>x", "1 < 2\nx"), ("<article><!-- c --><p>a<script>b</p>", "a"), ("<form class='with-sidebar'><article>in</article> out</form>", "in"), ("<article class=comment>no</article><main>yes</main>", "yes"), ("<article><p title='>'>q</p><p>" + "w " * 5000, "q\n" + ("w " * 5000).strip())],
 )
 def test_html_text_of_odd_pages(source, text):
     assert html_text.induce([source]) == [text]
