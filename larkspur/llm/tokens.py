@@ -8,9 +8,11 @@ new chunks go through the library.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from collections.abc import Iterable, Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -27,22 +29,35 @@ _WHITE = (
     b"\xe2\x80\x88", b"\xe2\x80\x89", b"\xe2\x80\x8a", b"\xe2\x80\x8b", b"\xe2\x80\xa8", b"\xe2\x80\xa9", b"\xe2\x80\xaf", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\xef\xbb\xbf",
 )
 _WHITE_THEN_SPACE = tuple(w + b" " for w in _WHITE)
-_ENDS_IN_POINT = re.compile(rb"[A-Za-z0-9][.,;:!?]\Z")
+#: Bytes that UTF-8 never uses: before a chunk without a space, and before one that follows a line feed.
+FIRST, LINE = b"\xff", b"\xfe"
+_WHITE_BY_LINE = tuple(x for w in _WHITE for x in (w + b"\n", b"\n" + w))
+#: Points at the end; an apostrophe may begin a contraction, and the caret is a mark.
+_POINTS = b"!\"#$%&()*+,-./:;<=>?@[\\]_`{|}~"
 
 
 def spaced_chunks(text: bytes) -> list[bytes]:
-    """Cuts before each space that follows a character other than white space; nothing is lost."""
+    """Cuts before each space that follows a character other than white space.
+
+    The space is left out of a chunk; FIRST begins the one at the beginning,
+    which has none. Line feeds by themselves are cut as well; LINE stands for
+    one at the beginning of a chunk.
+    """
     if not text:
         return []
-    first, *rest = text.split(b" ")
-    if text[:1] != b" " and not any(w in text for w in _WHITE_THEN_SPACE):
-        return [first, *[b" " + p for p in rest]]
-    out = [first]
-    for p in rest:
-        if not out[-1] or out[-1].endswith(_WHITE):
+    plain = text[:1] not in b" \n" and not any(w in text for w in _WHITE_THEN_SPACE)
+    if plain and b"\n" in text and not any(w in text for w in _WHITE_BY_LINE):
+        text = text.replace(b"\n", b" " + LINE)
+    parts = text.split(b" ")
+    parts[0] = FIRST + parts[0]
+    if plain:
+        return parts
+    out = parts[:1]
+    for p in parts[1:]:
+        if out[-1] in (b"", FIRST) or out[-1].endswith(_WHITE):
             out[-1] += b" " + p
         else:
-            out.append(b" " + p)
+            out.append(p)
     return out
 
 
@@ -51,6 +66,21 @@ def bare_chunks(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def _byte_names() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write bytes: printable ones stand for themselves, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTES = _byte_names()
+
+
+def _holes(ids: list) -> list[int]:
+    """Places that are None or, rarely, empty."""
+    return list(compress(range(len(ids)), map(not_, ids)))
+
+
 class ChunkEncoder:
     """Ids of texts as little-endian uint16 bytes; equal to encoding each whole text with the library.
 
@@ -59,77 +89,124 @@ class ChunkEncoder:
     begins; the one before it is kept as well (about 150 bytes a chunk).
     """
 
-    def __init__(self, path: str, drops_space: bool, limit: int = 500_000) -> None:
+    def __init__(self, path: str, drops_space: bool, limit: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        # Chunks that need not all of the tokenizer's steps: ASCII ones come as a normalizer that lower-cases
-        # would leave them, and a space with letters after it is one match of the pattern for splitting.
-        self.simple = Tokenizer.from_file(path)
-        self.simple.encode_special_tokens = True
-        if drops_space:
-            self.simple.normalizer = normalizers.Sequence([])
-        else:
-            self.simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # For words of letters alone, the same model without the steps before it: their bytes are mapped here.
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        suffix = {"end_of_word_suffix": model["end_of_word_suffix"]} if model.get("end_of_word_suffix") else {}
+        self.words = Tokenizer(models.BPE(model["vocab"], merges, cache_capacity=0, **suffix))
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.drops_space, self.limit = drops_space, limit
+        self.space = "" if drops_space else BYTES[32]
         self.split = bare_chunks if drops_space else spaced_chunks
-        self.mark = b" ^ " if drops_space else b"\n"
+        # A chunk of one token that stands between others.
+        self.mark, word_mark = (b" ^ ", " ^ ") if drops_space else (b"\n", f" {BYTES[10]} ")
+        self.word_mark = word_mark
         self.mark_id = self._ids(self.mark)
-        if len(self.mark_id) != 1:
+        if len(self.mark_id) != 1 or self.words.encode(word_mark).ids != self.mark_id.tolist():
             raise ValueError("the mark between chunks has to be one token")
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _ids(self, text: bytes, simple: bool = False) -> np.ndarray:
-        t = self.simple if simple else self.tokenizer
-        return np.array(t.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.uint16)
+    def _ids(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.uint16)
+
+    def _word(self, c: bytes) -> str | None:
+        """The mapped bytes of a chunk that is one word of Latin letters."""
+        space = self.space
+        if c[:1] == FIRST:
+            c, space = c[1:], ""
+        elif c[:1] == LINE:
+            return None
+        if c.isalpha():  # bytes.isalpha knows ASCII only; letters stand for themselves
+            return space + c.decode()
+        if c.isascii():
+            return None
+        t = c.decode()
+        if self.drops_space and len(t) != len(t := t.lower()):
+            return None
+        if not t.isalpha() or max(t) >= "\u0250":
+            return None
+        return space + t.encode().decode("latin-1").translate(BYTES)
 
-    def _simple(self, c: bytes) -> bool:
-        return c.isascii() if self.drops_space else c[1:].isalpha()  # bytes.isalpha knows ASCII only
+    def _atoms(self, c: bytes) -> list[bytes]:
+        """A chunk cut where no token spans: around one line feed between other characters, and before points at the end."""
+        if c[:1] == LINE:
+            return [FIRST + b"\n", *(self._atoms(FIRST + c[1:]) if len(c) > 1 else [])]
+        if not self.drops_space and b"\n" in c:
+            left, _, right = c.partition(b"\n")
+            if left not in (b"", FIRST) and right and not left.endswith(_WHITE) and not right.startswith(_WHITE):
+                return [*self._atoms(left), FIRST + b"\n", *self._atoms(FIRST + right)]
+        head = c.rstrip(_POINTS)
+        if head and len(head) < len(c) and (head[-1:].isalnum() or self._word(head) is not None):
+            points = c[len(head) :]
+            return [head, points if self.drops_space else FIRST + points]
+        return [c]
 
     def _alone(self, c: bytes) -> bool:
         """Whether a chunk has to be encoded without others around it."""
         if self.drops_space:
             return b"^" in c
-        return c[:1] != b" " or b"\n" in c or c.endswith(_WHITE) or c[1:].startswith(_WHITE)
+        text = c.removeprefix(FIRST)
+        return not text or b"\n" in text or text.endswith(_WHITE) or text.startswith(_WHITE)
+
+    def _text(self, c: bytes) -> bytes:
+        return c if self.drops_space else c[1:] if c[:1] == FIRST else b" " + c
 
     def _learn(self, chunks: Iterable[bytes]) -> None:
-        known, alone = self.known, self._alone
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
-        todo = {True: set(), False: set()}  # by whether they are simple
+        known = self.known
+        parts: dict[bytes, list[bytes]] = {}
+        words: dict[bytes, str] = {}
+        others: set[bytes] = set()
         for c in chunks:
-            heads = (c,)
-            if _ENDS_IN_POINT.search(c) and len(c) > 2:  # a letter and a point are never one token
-                heads = parts[c] = (c[:-1], c[-1:])
-            for h in heads:
-                if h not in known:
-                    if alone(h):
-                        known[h] = self._ids(h).astype("<u2").tobytes()
-                    else:
-                        todo[self._simple(h)].add(h)
-        for simple, some_of in ((k, list(v)) for k, v in todo.items()):
-            for i in range(0, len(some_of), 4096):
-                some = some_of[i : i + 4096]
-                ids = self._ids(self.mark.join(some), simple)
-                cut = np.flatnonzero(ids == self.mark_id[0])
-                if len(cut) != len(some) - 1:
-                    raise RuntimeError("chunks and marks don't match")
-                raw = ids.astype("<u2").tobytes()
-                for c, s, e in zip(some, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
-                    known[c] = raw[2 * s : 2 * e]
-        for c, (a, b) in parts.items():
-            known[c] = known[a] + known[b]
+            w = self._word(c)
+            atoms = [c] if w is not None else self._atoms(c)
+            if atoms != [c]:
+                parts[c] = atoms
+            for h in atoms:
+                if h in known or h in words:
+                    continue
+                w = self._word(h) if h is not c else w
+                if w is not None:
+                    words[h] = w
+                elif self._alone(h):
+                    known[h] = self._ids(self._text(h)).astype("<u2").tobytes()
+                else:
+                    others.add(h)
+
+        def fill(names: list[bytes], ids: np.ndarray) -> None:
+            cut = np.flatnonzero(ids == self.mark_id[0]).tolist()
+            if len(cut) != len(names) - 1:
+                raise RuntimeError("chunks and marks don't match")
+            raw = ids.astype("<u2").tobytes()
+            for c, s, e in zip(names, [0, *[k + 1 for k in cut]], [*cut, len(ids)], strict=True):
+                known[c] = raw[2 * s : 2 * e]
+
+        names = list(words)
+        for i in range(0, len(names), 4096):
+            some = names[i : i + 4096]
+            fill(some, np.array(self.words.encode_batch_fast([self.word_mark.join([words[c] for c in some])], add_special_tokens=False)[0].ids, np.uint16))
+        names = list(others)
+        for i in range(0, len(names), 4096):
+            some = names[i : i + 4096]
+            fill(some, self._ids(self.mark.join(map(self._text, some))))
+        for c, atoms in parts.items():
+            known[c] = b"".join([known[h] for h in atoms])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
         for i in range(0, len(texts), 64):
             split = [self.split(t) for t in texts[i : i + 64]]
             got = [list(map(self.known.get, chunks)) for chunks in split]
-            holes = [[k for k, x in enumerate(ids) if x is None] if None in ids else () for ids in got]
+            holes = [_holes(ids) for ids in got]
             new = {chunks[k] for chunks, at in zip(split, holes, strict=True) for k in at}
             if new:
                 if len(self.known) + len(new) > self.limit:
