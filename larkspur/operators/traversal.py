@@ -9,6 +9,7 @@ search itself never depends on them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -25,7 +26,6 @@ RELATIONSHIP_GLOBAL, RELATIONSHIP_PATH, RELATIONSHIP_RECENT = "relationship_glob
 NONE = "none"
 PRE_DEPTH, POST_DEPTH, PRE_BREADTH, POST_BREADTH = "pre_depth", "post_depth", "pre_breadth", "post_breadth"
 
-ALL = F.lit
 COLUMNS = ["root", "node", "depth", "last_eid", "last_type", "nodes", "rels", "path_key"]
 
 
@@ -166,8 +166,6 @@ def trav(graph: PropertyGraph, starts: DataFrame, order: str = PRE_BREADTH, type
     expander = Expander()
     if types:
         known = [r["type"] for r in graph.relationship_types().collect()]  # a handful of names
-        import re
-
         for kind in sorted(known):
             for pattern, direction in types.items():
                 if re.fullmatch(pattern, kind):
