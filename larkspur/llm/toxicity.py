@@ -183,8 +183,9 @@ def _markers(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
 def fit(texts: list[str], labels: list[int], rounds: int = 80, seed: int = 7) -> Model:
     """Fits the chain and the document regression. Without both labels the model calls every text clean."""
     toxic, clean, seen = [], [], set()
+    once: dict[str, str] = {}  # one object for each word, however often it occurs
     for text, y in zip(texts, labels, strict=True):
-        words = text.split()
+        words = [once.setdefault(w, w) for w in text.split()]
         sketch = _sketch(words)
         if words and not (("a", sketch[0]) in seen or ("b", sketch[1]) in seen):  # copies would make all their words markers
             seen |= {("a", sketch[0]), ("b", sketch[1])}
@@ -264,6 +265,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 80, seed: int = 7) ->
     model._known.clear()
     x, want = np.concatenate(sums), np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
     w = np.zeros(3)
+    del once
     for _ in range(60):  # Newton steps of the regularised regression
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (q * (1 - q))[:, None]).T @ x + np.diag([1e-3, 1e-2, 1e-2])
@@ -284,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     picks = [known.where(cond).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * n) for cond, n in (("y = 1", TOXIC_DOCS), ("y = 0", CLEAN_DOCS))]
     texts = docs.where(F.length(text_col) <= TRAIN_CHARS).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    got: list[tuple] = []
+    got: list[tuple[str, int]] = []
     for pick, n in zip(picks, (TOXIC_DOCS, CLEAN_DOCS), strict=True):
         rows = texts.join(F.broadcast(pick), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(n)  # the sample is bounded
         got += [(r["text"], r["y"]) for r in rows.collect()]
