@@ -124,20 +124,30 @@ def queues_of(docs: DataFrame, source_col: str = "source") -> DataFrame:
     return docs.withColumn("__queue", F.pmod(F.xxhash64(name), F.lit(MAX_QUEUES)).cast("string") if many else name)
 
 
+def queue_weights(queued: DataFrame, weights: dict[str, float], source_col: str = "source") -> dict[str, float]:
+    """The weight of every queue: the sum over its sources, of which those without a weight get the smallest."""
+    given = queued.sparkSession.createDataFrame([(k, float(w)) for k, w in weights.items()], "__name string, weight double")
+    sources = queued.select(F.col(source_col).alias("__source"), "__queue").distinct().withColumn("__name", F.coalesce(F.col("__source").cast("string"), F.lit("")))
+    weight = F.sum(F.coalesce("weight", F.lit(float(min(weights.values()))))).alias("weight")
+    return {r["__queue"]: r["weight"] for r in sources.join(F.broadcast(given), "__name", "left").groupBy("__queue").agg(weight).collect()}  # MAX_QUEUES rows at most
+
+
 def pieces(docs: DataFrame, tokenizer: str, weights: dict[str, float] | None = None, window: int = WINDOW, grain: int = GRAIN, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with `with_ids` the piece's ids.
 
     Every document ends with id 1; a null text is empty and gives that id
     alone. `weights` gives the target proportions by source (others get the
     smallest of them); by default they are the sources' shares of all tokens,
-    so that all queues run dry together. An empty table gives an empty result.
+    so that all queues run dry together. Beyond MAX_QUEUES sources the sources of
+    a hash bucket share a queue with the sum of their weights. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    tokens = written(token_table(queues_of(docs, source_col), tokenizer, False, id_col, text_col, "__queue"), "tokens")
+    queued = queues_of(docs, source_col)
+    tokens = written(token_table(queued, tokenizer, False, id_col, text_col, "__queue"), "tokens")
     parts = written(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "parts")
     totals = sorted((r["queue"], r["n"]) for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # MAX_QUEUES rows at most
-    low = min(weights.values()) if weights else 0
-    schedule = Schedule([n for _, n in totals], [weights.get(q[1:], low) for q, _ in totals] if weights else None, window, grain)
+    shares = queue_weights(queued, weights, source_col) if weights else {}
+    schedule = Schedule([n for _, n in totals], [shares[q] for q, _ in totals] if weights else None, window, grain)
     number = {q: i for i, (q, _) in enumerate(totals)}
     held = spark.sparkContext.broadcast((schedule, number))
     base = written(parts.select("queue", "part", (F.sum("n").over(W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("base")), "base")

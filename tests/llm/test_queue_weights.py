@@ -1,0 +1,24 @@
+"""Weights of sources that share queues."""
+
+import public_tokenizers
+
+from larkspur.llm import packing
+
+
+def test_weights_hold_where_sources_share_queues(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 3)
+    weights = {"0": 5.0, "1": 7.0, "a": 11.0, "b": 13.0}
+    docs = spark.createDataFrame([(i, "one two three " * 50, s) for i, s in enumerate(["0", "1", "a", "b", "c", None, "a"])], "doc_id long, text string, source string")
+    held = {}
+    for r in packing.queues_of(docs).collect():
+        held.setdefault(r["__queue"], set()).add(r["source"])
+    want = [sum(weights.get(s, 5.0) for s in held[q]) for q in sorted(held)]
+    seen, real = [], packing.Schedule.__init__
+
+    def watched(self, totals, w, *rest):
+        seen.append(w)
+        real(self, totals, w, *rest)
+
+    monkeypatch.setattr(packing.Schedule, "__init__", watched)
+    got = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), weights).collect()
+    assert seen == [want] and len({r.doc_id for r in got}) == 7
