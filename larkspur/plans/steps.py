@@ -1,4 +1,4 @@
-"""Cutting the lineage of iterative programs."""
+"""Written steps: cutting the lineage of iterative programs in the shared folder."""
 
 from __future__ import annotations
 
@@ -10,22 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local session without it uses one of its own."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, as in tests, a local session uses a folder of its own; on
+    a cluster that is an error, since no machine-local folder is seen by all.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file:///tmp/checkpoints/larkspur-graph-{os.getpid()}"
+        root = f"file:///tmp/checkpoints/larkspur-{os.getpid()}"
     return root.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; it is deleted when the driver ends, if not before."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def drop() -> None:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            remove(spark, path)
         except Exception:  # the session may be gone at interpreter exit
             pass
 
@@ -34,7 +43,21 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def settled(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes a frame into the shared folder and reads it back: later steps plan on files of known size."""
+    """Writes a frame as Parquet into the shared folder and reads it back.
+
+    Lost executors never cause more than the reading of files, and later steps
+    plan on files of known size.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._step = path
+    return out
+
+
+def superseded(*steps: DataFrame | None) -> None:
+    """Deletes the files of steps that nothing reads any more."""
+    for df in steps:
+        path = getattr(df, "_step", None)
+        if path:
+            remove(df.sparkSession, path)
