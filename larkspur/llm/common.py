@@ -1,56 +1,26 @@
-"""Shared helpers of the corpus operators: the shared folder, written intermediates, connected groups."""
+"""Shared helpers of the corpus operators: written intermediates, free column names, connected groups."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OWN = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is missing a local session falls back to a folder of its
-    own; on a cluster a missing setting is an error, since no machine-local
-    folder is visible to every executor.
-    """
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{_OWN}/larkspur-{os.getpid()}"
-    return root.rstrip("/")
+from larkspur.plans.steps import new_path, settled, shared_dir, superseded
 
+__all__ = ["components", "free_names", "new_path", "shared_dir", "superseded", "written"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+written = settled
 
-    def drop() -> None:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone already at interpreter exit
-            pass
 
-    atexit.register(drop)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a frame as Parquet into the shared folder and reads it back.
-
-    Cuts the lineage: lost executors never cause more than the reading of files.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of the frame has, in any case."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -58,21 +28,24 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     `edges` has long columns a and b, in any order, repeats allowed. Alternates
     the large-star and small-star steps of Kiveris et al. (2014) until the edge
-    set no longer changes; each round is two aggregations with map-side
-    combining plus two joins, so a star of any size is never held by one task.
-    Each round's edges are written to the shared folder.
+    set no longer changes. The smallest neighbours of each step are written
+    before they are joined with the edges, so that the join has exchanges of its
+    own and the rows of a hub are split among tasks; steps are deleted once the
+    next one is there.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if large:
             both = both.union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         kept = both.where("v > u") if large else both
         out = kept.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         if not large:
             out = out.union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
+        out = written(out.where("a <> b").distinct(), "edges")
+        superseded(low)
+        return out
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -83,7 +56,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        e = written(star(star(e, True), False), "edges")
+        half = star(e, True)
+        superseded(e)
+        e = star(half, False)
+        superseded(half)
         now = state(e)
         if now == seen:
             break

@@ -19,58 +19,54 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_names, written
 from .tokens import token_table
 
 WINDOW, GRAIN = 2048, 256
-#: Most queues: their totals are sent to every task. With more sources than
-#: this, sources share queues by a hash of their names; no row is left out.
-MAX_QUEUES = 1024
+#: Most queues: their totals are sent to every task, five numbers each (2.6 MB).
+MAX_QUEUES = 1 << 16
 
 
 class Schedule:
-    """Rounds of the queues. `totals`: tokens of each queue; `weights`: target proportions, by default the totals."""
+    """Rounds of the queues. `totals`: tokens of each queue; `weights`: target proportions, by default the totals.
+
+    All active queues share one clock: queue q has earned weight x clock tokens,
+    and runs dry at clock total / weight. A round moves the clock on by as much
+    as lets the queues that are active then earn one window together.
+    """
 
     def __init__(self, totals: list[int], weights: list[float] | None = None, window: int = WINDOW, grain: int = GRAIN) -> None:
         self.totals = np.array(totals, np.int64)
-        w = np.array(totals if weights is None else weights, np.float64)
-        if len(w) and not (w > 0).all():
+        self.weights = w = np.array(totals if weights is None else weights, np.float64)
+        if len(w) and not ((w > 0) & np.isfinite(w)).all():
             raise ValueError("weights have to be positive")
         self.grain = grain
-        # Phases: between two of them the same queues are active. earned[k] is what each has earned when phase k begins.
-        begin, earned, slope = [0.0], [np.zeros(len(w))], []
-        dry = np.zeros(len(w), bool)
-        while not dry.all():
-            rate = np.where(dry, 0, window * w / w[~dry].sum())
-            slope.append(rate)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                need = np.where(dry, np.inf, (self.totals - earned[-1]) / rate)
-            step = max(0.0, need.min())
-            dry = dry | (need <= step * (1 + 1e-12))
-            begin.append(begin[-1] + step)
-            earned.append(np.where(dry, self.totals, np.minimum(earned[-1] + rate * step, self.totals)))
-        slope.append(np.zeros(len(w)))
-        self.begin, self.earned, self.slope = np.array(begin), np.array(earned), np.array(slope)
+        dry = self.totals / w
+        order = np.argsort(dry, kind="stable")
+        clock = dry[order]
+        done, rest = np.cumsum(self.totals[order]), w.sum() - np.cumsum(w[order])
+        earned = done + clock * np.maximum(rest, 0)  # by all queues together
+        rounds = np.maximum.accumulate(earned / window) if len(w) else earned
+        # The clock after any number of rounds lies between these points.
+        self.rounds, self.clock = np.r_[0.0, rounds], np.r_[0.0, clock]
         # After these rounds a queue has served all it has.
-        ends = np.array([int(np.argmax(self.earned[:, q] >= self.totals[q])) for q in range(len(w))], np.int64)
-        self.last = np.ceil(self.begin[ends]).astype(np.int64) if len(w) else ends
+        self.last = np.empty(len(w), np.int64)
+        self.last[order] = np.maximum(1, np.ceil(rounds * (1 - 1e-12))).astype(np.int64)
 
     def served(self, rounds: np.ndarray) -> np.ndarray:
         """Tokens that each queue has served after each of these rounds: (rounds, queues)."""
-        k = np.searchsorted(self.begin, rounds, side="right") - 1
-        earned = self.earned[k] + self.slope[k] * (rounds - self.begin[k])[:, None]
+        earned = np.interp(rounds, self.rounds, self.clock)[:, None] * self.weights
         whole = np.minimum((earned / self.grain).astype(np.int64) * self.grain, self.totals)
-        return np.where(rounds[:, None] >= self.last, self.totals, np.maximum(whole, 0))
+        return np.where(rounds[:, None] >= self.last, self.totals, whole)
 
     def _served_by(self, queue: np.ndarray, rounds: np.ndarray) -> np.ndarray:
-        k = np.searchsorted(self.begin, rounds, side="right") - 1
-        earned = self.earned[k, queue] + self.slope[k, queue] * (rounds - self.begin[k])
+        earned = np.interp(rounds, self.rounds, self.clock) * self.weights[queue]
         whole = np.minimum((earned / self.grain).astype(np.int64) * self.grain, self.totals[queue])
-        return np.where(rounds >= self.last[queue], self.totals[queue], np.maximum(whole, 0))
+        return np.where(rounds >= self.last[queue], self.totals[queue], whole)
 
     def round_of(self, queue: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The round that serves token `at` of each queue (at < its total): an exact search over served()."""
@@ -86,10 +82,13 @@ class Schedule:
         r = self.round_of(queue, at)
         rounds, which = np.unique(r, return_inverse=True)
         out = np.empty(len(at), np.int64)
-        for s in range(0, len(rounds), 4096):
-            before, after = self.served(rounds[s : s + 4096] - 1), self.served(rounds[s : s + 4096])
+        step = max(1, (1 << 22) // max(1, len(self.totals)))  # 32 MB for each array
+        by_round = np.argsort(which, kind="stable")
+        bounds = np.searchsorted(which[by_round], np.arange(0, len(rounds) + step, step))
+        for s, lo, hi in zip(range(0, len(rounds), step), bounds, bounds[1:], strict=False):
+            before, after = self.served(rounds[s : s + step] - 1), self.served(rounds[s : s + step])
             lead = before.sum(axis=1)[:, None] + np.cumsum(after - before, axis=1) - after
-            some = np.flatnonzero((which >= s) & (which < s + 4096))
+            some = by_round[lo:hi]
             out[some] = lead[which[some] - s, queue[some]] + at[some]
         return r, out
 
@@ -117,37 +116,38 @@ def place_pieces(schedule: Schedule, queue: np.ndarray, start: np.ndarray, n: np
     return row[part], off[part] + ps - pos[part], pe - ps, ps
 
 
-def queues_of(docs: DataFrame, source_col: str = "source") -> DataFrame:
-    """Adds the column __queue: the source, or a hash bucket of it where there are too many sources. Null is a source of its own."""
-    many = docs.select(source_col).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES
-    name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
-    return docs.withColumn("__queue", F.pmod(F.xxhash64(name), F.lit(MAX_QUEUES)).cast("string") if many else name)
-
+def queue_of(docs: DataFrame, source_col: str, weighted: bool) -> Column:
+    """The name of a row's queue: its source; null is a source of its own.
 
-def queue_weights(queued: DataFrame, weights: dict[str, float], source_col: str = "source") -> dict[str, float]:
-    """The weight of every queue: the sum over its sources, of which those without a weight get the smallest."""
-    given = queued.sparkSession.createDataFrame([(k, float(w)) for k, w in weights.items()], "__name string, weight double")
-    sources = queued.select(F.col(source_col).alias("__source"), "__queue").distinct().withColumn("__name", F.coalesce(F.col("__source").cast("string"), F.lit("")))
-    weight = F.sum(F.coalesce("weight", F.lit(float(min(weights.values()))))).alias("weight")
-    return {r["__queue"]: r["weight"] for r in sources.join(F.broadcast(given), "__name", "left").groupBy("__queue").agg(weight).collect()}  # MAX_QUEUES rows at most
+    Beyond MAX_QUEUES sources those of a hash bucket share a queue. Targets by
+    source would be lost there, so weights are refused.
+    """
+    name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
+    if docs.select(source_col).distinct().limit(MAX_QUEUES + 1).count() <= MAX_QUEUES:
+        return name
+    if weighted:
+        raise ValueError(f"weights need at most {MAX_QUEUES} sources")
+    return F.pmod(F.xxhash64(name), F.lit(MAX_QUEUES)).cast("string")
 
 
 def pieces(docs: DataFrame, tokenizer: str, weights: dict[str, float] | None = None, window: int = WINDOW, grain: int = GRAIN, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with `with_ids` the piece's ids.
 
     Every document ends with id 1; a null text is empty and gives that id
-    alone. `weights` gives the target proportions by source (others get the
-    smallest of them); by default they are the sources' shares of all tokens,
-    so that all queues run dry together. Beyond MAX_QUEUES sources the sources of
-    a hash bucket share a queue with the sum of their weights. An empty table gives an empty result.
+    alone. Rows that repeat an id, or have none, are documents of their own.
+    `weights` gives the target proportions by source (others get the smallest of
+    them; the null source's name is the empty string); by default they are the
+    sources' shares of all tokens, so that all queues run dry together. Other
+    columns are left out. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    queued = queues_of(docs, source_col)
-    tokens = written(token_table(queued, tokenizer, False, id_col, text_col, "__queue"), "tokens")
+    (name,) = free_names(docs, "queue")
+    queued = docs.withColumn(name, queue_of(docs, source_col, bool(weights)))
+    tokens = written(token_table(queued, tokenizer, False, id_col, text_col, name), "tokens")
     parts = written(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "parts")
     totals = sorted((r["queue"], r["n"]) for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # MAX_QUEUES rows at most
-    shares = queue_weights(queued, weights, source_col) if weights else {}
-    schedule = Schedule([n for _, n in totals], [shares[q] for q, _ in totals] if weights else None, window, grain)
+    low = min(weights.values()) if weights else 0
+    schedule = Schedule([n for _, n in totals], [weights.get(q[1:], low) for q, _ in totals] if weights else None, window, grain)
     number = {q: i for i, (q, _) in enumerate(totals)}
     held = spark.sparkContext.broadcast((schedule, number))
     base = written(parts.select("queue", "part", (F.sum("n").over(W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("base")), "base")

@@ -1,69 +1,97 @@
-"""Encoding whole texts with the tokenizers library, one white-space chunk at a time.
+"""Encoding whole texts with the tokenizers library, one chunk at a time.
 
-The library's vocabularies here never merge across white space, so a text's
-ids are the ids of its chunks in a row. Texts repeat most of their chunks;
-each worker therefore keeps the ids of the chunks that it has met, and only
-new chunks go through the library.
+Texts are cut where the vocabularies here never merge: around runs of ASCII
+white space, and before ASCII points that follow an ASCII letter. A text's ids
+are then the ids of its chunks in a row. The cuts of a batch of texts are found
+with numpy and its distinct chunks with Arrow; each worker keeps the ids of the
+chunks that it has met, and only new ones go through the library, many at once.
+
+The strings of special tokens are ordinary text in a document (`encode_special_tokens`
+of the library), so that no text can end or begin a document by itself.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable, Iterator
-from itertools import compress
-from operator import not_
+from collections.abc import Iterator
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Appended to each document.
 END_ID = 1
-#: UTF-8 forms of characters that count as white space in some regex engine; a
-#: chunk never begins right after one of them.
-_WHITE = (
-    b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e",
-    b"\xe2\x80\x80", b"\xe2\x80\x81", b"\xe2\x80\x82", b"\xe2\x80\x83", b"\xe2\x80\x84", b"\xe2\x80\x85", b"\xe2\x80\x86", b"\xe2\x80\x87",
-    b"\xe2\x80\x88", b"\xe2\x80\x89", b"\xe2\x80\x8a", b"\xe2\x80\x8b", b"\xe2\x80\xa8", b"\xe2\x80\xa9", b"\xe2\x80\xaf", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\xef\xbb\xbf",
-)
-_WHITE_THEN_SPACE = tuple(w + b" " for w in _WHITE)
-#: Bytes that UTF-8 never uses: before a chunk without a space, and before one that follows a line feed.
-FIRST, LINE = b"\xff", b"\xfe"
-_WHITE_BY_LINE = tuple(x for w in _WHITE for x in (w + b"\n", b"\n" + w))
-#: Points at the end; an apostrophe may begin a contraction, and the caret is a mark.
-_POINTS = b"!\"#$%&()*+,-./:;<=>?@[\\]_`{|}~"
-
-
-def spaced_chunks(text: bytes) -> list[bytes]:
-    """Cuts before each space that follows a character other than white space.
-
-    The space is left out of a chunk; FIRST begins the one at the beginning,
-    which has none. Line feeds by themselves are cut as well; LINE stands for
-    one at the beginning of a chunk.
+#: Bytes of text that are cut at a time; a longer text is cut by itself.
+SLICE = 4 << 20
+#: Chunks and bytes of chunks that a worker keeps before it begins anew.
+KEPT, KEPT_BYTES = 500_000, 32 << 20
+
+#: Classes of bytes; only those below UNSURE are known not to be white space.
+LETTER, POINT, OTHER, UNSURE, WHITE, SPACE = range(6)
+
+
+def _classes() -> np.ndarray:
+    c = np.full(256, OTHER, np.uint8)
+    c[:32] = UNSURE
+    c[127] = UNSURE
+    c[[9, 10, 11, 12, 13]] = WHITE
+    c[32] = SPACE
+    for b in range(33, 127):
+        c[b] = LETTER if chr(b).isalpha() else OTHER if chr(b).isdigit() else POINT
+    return c
+
+
+CLASS = _classes()
+#: White space of two and three bytes in UTF-8, and marks that some engines count as such.
+_WIDE = [bytes(x) for x in ("\x85".encode(), "\xa0".encode(), *(chr(c).encode() for c in (0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))]
+_WIDE_CODES = np.array(sorted(int.from_bytes(w.ljust(3, b"\0"), "big") for w in _WIDE), np.uint32)
+_WIDE_LEADS = sorted({w[0] for w in _WIDE})
+
+
+def classes(buf: np.ndarray) -> np.ndarray:
+    """The class of each byte; all bytes of white space outside ASCII are UNSURE."""
+    cls = CLASS[buf]
+    at = np.flatnonzero(np.isin(buf, _WIDE_LEADS)) if buf.max(initial=0) >= 0x80 else ()
+    if len(at):
+        p = np.zeros(len(buf) + 2, np.uint32)
+        p[: len(buf)] = buf
+        two = buf[at] == 0xC2
+        code = p[at] << 16 | p[at + 1] << 8 | np.where(two, 0, p[at + 2])
+        hit = np.isin(code, _WIDE_CODES)
+        for k in range(3):
+            some = at[hit & ~two if k == 2 else hit] + k
+            cls[some[some < len(cls)]] = UNSURE
+    return cls
+
+
+def cuts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, drops_space: bool) -> np.ndarray:
+    """Where chunks of the texts [starts, ends) of `buf` begin; every text that is not empty begins one.
+
+    With `drops_space` a chunk begins at each run of spaces. Else a run of white
+    space is cut before it, before its last character, and after that unless it
+    is a space: a pattern match takes all but the last, which may lead a word.
     """
-    if not text:
-        return []
-    plain = text[:1] not in b" \n" and not any(w in text for w in _WHITE_THEN_SPACE)
-    if plain and b"\n" in text and not any(w in text for w in _WHITE_BY_LINE):
-        text = text.replace(b"\n", b" " + LINE)
-    parts = text.split(b" ")
-    parts[0] = FIRST + parts[0]
-    if plain:
-        return parts
-    out = parts[:1]
-    for p in parts[1:]:
-        if out[-1] in (b"", FIRST) or out[-1].endswith(_WHITE):
-            out[-1] += b" " + p
-        else:
-            out.append(p)
-    return out
-
-
-def bare_chunks(text: bytes) -> list[bytes]:
-    """Words between ASCII white space with A-Z lower-cased, for vocabularies that do both themselves."""
-    return text.lower().split()
+    cut = np.zeros(len(buf) + 1, bool)
+    cls = classes(buf)
+    cut[1:-1] = (cls[1:] == POINT) & (cls[:-1] == LETTER)
+    if drops_space:
+        cut[1:-1] |= (cls[1:] == SPACE) & (cls[:-1] != SPACE)
+    else:
+        white, sure = cls >= WHITE, cls < UNSURE
+        before, after = np.zeros(len(buf), bool), np.zeros(len(buf), bool)
+        before[1:], after[:-1] = sure[:-1], sure[1:]
+        some = ends > starts
+        before[starts[some]] = False
+        after[ends[some] - 1] = False
+        cut[:-1] |= white & (before | after)
+        cut[1:] |= white & after & (cls != SPACE)
+    cut[starts] = True
+    cut[len(buf)] = False
+    return np.flatnonzero(cut)
 
 
 def _byte_names() -> dict[int, str]:
@@ -74,22 +102,27 @@ def _byte_names() -> dict[int, str]:
 
 
 BYTES = _byte_names()
+#: A-Z to lower case and ASCII white space to spaces.
+_PLAIN = bytes(32 if b in b" \t\n\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Bytes of words of Latin letters up to U+024F.
+_WORDLY = np.array([chr(b).isalpha() and b < 128 or 0x80 <= b <= 0xBF or 0xC3 <= b <= 0xC9 for b in range(256)])
 
 
-def _holes(ids: list) -> list[int]:
-    """Places that are None or, rarely, empty."""
-    return list(compress(range(len(ids)), map(not_, ids)))
+def _parts(values: pa.Array) -> list[bytes]:
+    """The values of a large binary array without nulls; faster than by their scalars."""
+    at = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1].tolist()
+    raw = values.buffers()[2].to_pybytes() if values.buffers()[2] is not None else b""
+    return [raw[a:b] for a, b in pairwise(at)]
 
 
 class ChunkEncoder:
-    """Ids of texts as little-endian uint16 bytes; equal to encoding each whole text with the library.
+    """Ids of texts as uint16; equal to encoding each whole text with the library.
 
     `drops_space`: the tokenizer lower-cases and drops white space; otherwise a
-    chunk keeps the space before it. `limit`: chunks after which a new generation
-    begins; the one before it is kept as well (about 150 bytes a chunk).
+    chunk keeps the space before it.
     """
 
-    def __init__(self, path: str, drops_space: bool, limit: int = 700_000) -> None:
+    def __init__(self, path: str, drops_space: bool, limit: int = KEPT, limit_bytes: int = KEPT_BYTES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -104,123 +137,139 @@ class ChunkEncoder:
         suffix = {"end_of_word_suffix": model["end_of_word_suffix"]} if model.get("end_of_word_suffix") else {}
         self.words = Tokenizer(models.BPE(model["vocab"], merges, cache_capacity=0, **suffix))
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.drops_space, self.limit = drops_space, limit
-        self.space = "" if drops_space else BYTES[32]
-        self.split = bare_chunks if drops_space else spaced_chunks
+        self.drops_space, self.limit, self.limit_bytes = drops_space, limit, limit_bytes
         # A chunk of one token that stands between others.
-        self.mark, word_mark = (b" ^ ", " ^ ") if drops_space else (b"\n", f" {BYTES[10]} ")
-        self.word_mark = word_mark
+        self.mark, self.word_mark = (" ^ ", " ^ ") if drops_space else ("\n", f" {BYTES[10]} ")
         self.mark_id = self._ids(self.mark)
-        if len(self.mark_id) != 1 or self.words.encode(word_mark).ids != self.mark_id.tolist():
+        if len(self.mark_id) != 1 or self.words.encode(self.word_mark).ids != self.mark_id.tolist():
             raise ValueError("the mark between chunks has to be one token")
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _ids(self, text: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.uint16)
-
-    def _word(self, c: bytes) -> str | None:
-        """The mapped bytes of a chunk that is one word of Latin letters."""
-        space = self.space
-        if c[:1] == FIRST:
-            c, space = c[1:], ""
-        elif c[:1] == LINE:
-            return None
-        if c.isalpha():  # bytes.isalpha knows ASCII only; letters stand for themselves
-            return space + c.decode()
-        if c.isascii():
-            return None
-        t = c.decode()
-        if self.drops_space and len(t) != len(t := t.lower()):
-            return None
-        if not t.isalpha() or max(t) >= "\u0250":
-            return None
-        return space + t.encode().decode("latin-1").translate(BYTES)
-
-    def _atoms(self, c: bytes) -> list[bytes]:
-        """A chunk cut where no token spans: around one line feed between other characters, and before points at the end."""
-        if c[:1] == LINE:
-            return [FIRST + b"\n", *(self._atoms(FIRST + c[1:]) if len(c) > 1 else [])]
-        if not self.drops_space and b"\n" in c:
-            left, _, right = c.partition(b"\n")
-            if left not in (b"", FIRST) and right and not left.endswith(_WHITE) and not right.startswith(_WHITE):
-                return [*self._atoms(left), FIRST + b"\n", *self._atoms(FIRST + right)]
-        head = c.rstrip(_POINTS)
-        if head and len(head) < len(c) and (head[-1:].isalnum() or self._word(head) is not None):
-            points = c[len(head) :]
-            return [head, points if self.drops_space else FIRST + points]
-        return [c]
-
-    def _alone(self, c: bytes) -> bool:
-        """Whether a chunk has to be encoded without others around it."""
+        self._mapped = {b: c for b, c in BYTES.items() if c != chr(b)} | {10: self.word_mark}
+        self._clear()
+
+    def _clear(self) -> None:
+        """Slots of known chunks; their ids are pool[at[slot] : at[slot] + size[slot]]."""
+        self.known: dict[bytes, int] = {}
+        self.held = 0
+        self.slots = self.used = 0
+        self.at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.pool = np.zeros(1 << 14, np.uint16)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+
+    def _keep(self, names: list[bytes], ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        """Gives chunks their slots; `ids` holds those of chunk k from first[k] on."""
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.slots + len(names) > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        self.pool[self.used : self.used + len(ids)] = ids
+        s = slice(self.slots, self.slots + len(names))
+        self.at[s], self.size[s] = first + self.used, size
+        self.known.update(zip(names, range(s.start, s.stop), strict=True))
+        self.used, self.slots, self.held = self.used + len(ids), s.stop, self.held + sum(map(len, names))
+
+    def _marked(self, names: list[bytes], ids: np.ndarray) -> None:
+        cut = np.flatnonzero(ids == self.mark_id[0])
+        if len(cut) != len(names) - 1:
+            raise RuntimeError("chunks and marks don't match")
+        first, last = np.r_[0, cut + 1], np.r_[cut, len(ids)]
+        self._keep(names, ids, first, last - first)
+
+    def _learn(self, names: list[bytes]) -> None:
+        """Encodes chunks that are not known yet: words of letters by the model alone, others in a row, odd ones each by itself."""
+        size = np.array([len(c) for c in names], np.int64)
+        buf = np.frombuffer(b"".join(names), np.uint8)
+        first = np.cumsum(size) - size
+        led = buf[first] == 32
+        bad = ~_WORDLY[buf]
+        bad[1:] |= (buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7)) | (buf[:-1] == 0xC9) & (buf[1:] >= 0x90)
+        if self.drops_space:
+            bad[1:] |= (buf[:-1] == 0xC4) & (buf[1:] == 0xB0)  # a capital whose lower case is longer
+        bad[first[led]] = False
+        word = ~np.logical_or.reduceat(bad, first) & (size > led)
+        ascii_ = np.maximum.reduceat(buf, first) < 0x80
+        kind = np.where(word, np.where(ascii_, 0, 1), 2)
         if self.drops_space:
-            return b"^" in c
-        text = c.removeprefix(FIRST)
-        return not text or b"\n" in text or text.endswith(_WHITE) or text.startswith(_WHITE)
-
-    def _text(self, c: bytes) -> bytes:
-        return c if self.drops_space else c[1:] if c[:1] == FIRST else b" " + c
-
-    def _learn(self, chunks: Iterable[bytes]) -> None:
-        known = self.known
-        parts: dict[bytes, list[bytes]] = {}
-        words: dict[bytes, str] = {}
-        others: set[bytes] = set()
-        for c in chunks:
-            w = self._word(c)
-            atoms = [c] if w is not None else self._atoms(c)
-            if atoms != [c]:
-                parts[c] = atoms
-            for h in atoms:
-                if h in known or h in words:
-                    continue
-                w = self._word(h) if h is not c else w
-                if w is not None:
-                    words[h] = w
-                elif self._alone(h):
-                    known[h] = self._ids(self._text(h)).astype("<u2").tobytes()
-                else:
-                    others.add(h)
-
-        def fill(names: list[bytes], ids: np.ndarray) -> None:
-            cut = np.flatnonzero(ids == self.mark_id[0]).tolist()
-            if len(cut) != len(names) - 1:
-                raise RuntimeError("chunks and marks don't match")
-            raw = ids.astype("<u2").tobytes()
-            for c, s, e in zip(names, [0, *[k + 1 for k in cut]], [*cut, len(ids)], strict=True):
-                known[c] = raw[2 * s : 2 * e]
-
-        names = list(words)
-        for i in range(0, len(names), 4096):
-            some = names[i : i + 4096]
-            fill(some, np.array(self.words.encode_batch_fast([self.word_mark.join([words[c] for c in some])], add_special_tokens=False)[0].ids, np.uint16))
-        names = list(others)
-        for i in range(0, len(names), 4096):
-            some = names[i : i + 4096]
-            fill(some, self._ids(self.mark.join(map(self._text, some))))
-        for c, atoms in parts.items():
-            known[c] = b"".join([known[h] for h in atoms])
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), 64):
-            split = [self.split(t) for t in texts[i : i + 64]]
-            got = [list(map(self.known.get, chunks)) for chunks in split]
-            holes = [_holes(ids) for ids in got]
-            new = {chunks[k] for chunks, at in zip(split, holes, strict=True) for k in at}
-            if new:
-                if len(self.known) + len(new) > self.limit:
-                    self.known, self.old = {}, self.known
-                    new = {c for chunks in split for c in chunks}
-                    holes = [range(len(chunks)) for chunks in split]
-                old = self.old
-                self.known |= {c: x for c in new if (x := old.get(c)) is not None}
-                self._learn(c for c in new if c not in self.known)
-                for chunks, ids, at in zip(split, got, holes, strict=True):
-                    for k in at:
-                        ids[k] = self.known[chunks[k]]
-            out += [b"".join(ids) for ids in got]
-        return out
+            odd = np.logical_or.reduceat(buf == ord("^"), first) | (size == led)
+        else:
+            cls = classes(buf)
+            cls[first[led]] = OTHER
+            odd = np.logical_or.reduceat(cls >= UNSURE, first) | (size == led)
+        kind[~word & odd] = 3
+        for k in range(3):
+            some = np.flatnonzero(kind == k).tolist()
+            for i in range(0, len(some), 4096):
+                part = [names[j] for j in some[i : i + 4096]]
+                self._marked(part, self._row(part, k))
+        for j in np.flatnonzero(kind == 3).tolist():
+            ids = self._ids(names[j].decode())
+            self._keep([names[j]], ids, np.zeros(1, np.int64), np.array([len(ids)]))
+
+    def _row(self, names: list[bytes], kind: int) -> np.ndarray:
+        if kind == 2:
+            return self._ids(self.mark.join([c.decode().strip(" ") if self.drops_space else c.decode() for c in names]))
+        text = b"\n".join(names)
+        if self.drops_space:
+            text = text.replace(b" ", b"")
+            text = text.decode().lower().encode() if kind else text
+        if kind:
+            row = text.decode("latin-1").translate(self._mapped)
+        else:
+            row = text.decode().replace(" ", BYTES[32]).replace("\n", self.word_mark)
+        return np.array(self.words.encode_batch_fast([row], add_special_tokens=False)[0].ids, np.uint16)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a binary array in a row, each text's with END_ID behind them, and where each text's ids end."""
+        ids, ends, done = [np.empty(0, np.uint16)], [np.empty(0, np.int64)], 0
+        for some in self._slices(texts):
+            a, b = self._encode(some)
+            ids.append(a)
+            ends.append(b + done)
+            done += len(a)
+        return np.concatenate(ids), np.concatenate(ends)
+
+    @staticmethod
+    def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+        size = np.array(pc.binary_length(texts).fill_null(0), np.int64)
+        step = np.cumsum(size) // SLICE
+        s = np.flatnonzero(np.diff(step, prepend=-1))
+        for i, j in zip(s.tolist(), [*s[1:].tolist(), len(size)][: len(s)], strict=True):
+            yield texts.slice(i, j - i)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        n = len(texts)
+        texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+        raw = texts.buffers()[2]
+        raw = raw.slice(int(offsets[0]), int(offsets[-1] - offsets[0])) if raw is not None else pa.py_buffer(b"")
+        if self.drops_space:
+            raw = pa.py_buffer(raw.to_pybytes().translate(_PLAIN))
+        offsets = offsets - offsets[0]
+        total = int(offsets[-1])
+        first = cuts(np.frombuffer(raw, np.uint8), offsets[:-1], offsets[1:], self.drops_space) if total else np.empty(0, np.int64)
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.r_[first, total].astype(np.int64)), raw]).dictionary_encode()
+        names = _parts(chunks.dictionary)
+        own = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(own < 0)
+        if self.slots + len(new) > self.limit or self.held > self.limit_bytes:
+            self._clear()
+            new = np.arange(len(names))
+        if len(new):
+            some = [names[k] for k in new.tolist()]
+            self._learn(some)
+            own[new] = np.fromiter(map(self.known.__getitem__, some), np.int64, len(some))
+        slot = own[chunks.indices.to_numpy()]
+        size = self.size[slot].astype(np.int64)
+        end = np.cumsum(size)
+        ids = self.pool[np.repeat(self.at[slot] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)]
+        # Room for END_ID behind the ids of each text.
+        upto = np.r_[0, end][np.searchsorted(first, offsets[1:])] + np.arange(1, n + 1)
+        out = np.full(len(ids) + n, END_ID, np.uint16)
+        body = np.ones(len(out), bool)
+        body[upto - 1] = False
+        out[body] = ids
+        return out, upto
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
@@ -234,29 +283,43 @@ def encoder(path: str, drops_space: bool) -> ChunkEncoder:
     return _ENCODERS[key]
 
 
+def binary(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary array over the bytes of `flat`, whose parts end at these elements."""
+    offsets = np.r_[0, ends].astype(np.int64) * flat.itemsize
+    if offsets[-1] > (1 << 31) - 1:
+        raise ValueError("more than 2 GB of ids in one batch")
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
 def token_table(docs: DataFrame, path: str, drops_space: bool, id_col: str = "doc_id", text_col: str = "text", queue_col: str | None = None) -> DataFrame:
     """(doc_id, ids binary, n, queue, part, at): the ids of each document as uint16, end id included.
 
     A null text is empty and gives the end id alone. `part` is the task that
     read the row, `at` the ids of the rows of the same queue before it there.
     """
-    tail = np.array([END_ID], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, at = TaskContext.get().partitionId(), {}
         enc = encoder(path, drops_space)
-        for b in batches:
-            for s in range(0, b.num_rows, 512):
-                c = b.slice(s, 512)
-                ids = [x + tail for x in enc.encode([t or b"" for t in c.column(1).to_pylist()])]
-                queues, starts = c.column(2).to_pylist(), []
-                for q, x in zip(queues, ids, strict=True):
-                    starts.append(at.get(q, 0))
-                    at[q] = starts[-1] + len(x) // 2
+        for whole in batches:
+            done = 0
+            for texts in enc._slices(whole.column(1)):
+                c = whole.slice(done, len(texts))
+                done += len(texts)
+                ids, ends = enc.encode(texts)
+                n = np.diff(ends, prepend=0)
+                queue = c.column(2).dictionary_encode()
+                number = queue.indices.to_numpy()
+                starts = np.empty(len(n), np.int64)
+                for k, q in enumerate(queue.dictionary.to_pylist()):
+                    some = np.flatnonzero(number == k)
+                    upto = np.cumsum(n[some]) + at.get(q, 0)
+                    starts[some] = upto - n[some]
+                    at[q] = int(upto[-1])
                 yield pa.RecordBatch.from_arrays(
-                    [c.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64()), c.column(2), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64())],
+                    [c.column(0), binary(ids, ends), pa.array(n), c.column(2), pa.array(np.full(len(n), part, np.int32)), pa.array(starts)],
                     ["doc_id", "ids", "n", "queue", "part", "at"],
                 )
 
