@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import superseded, written
 from .tokens import token_table
 
 MAGIC, HEAD, NO_ID = b"LKVB", "<4sIIIIQ", -(1 << 63)
@@ -84,7 +84,11 @@ def ranks_of(tokens: DataFrame) -> DataFrame:
 
 
 def write(tokens: DataFrame, folder: str) -> None:
-    """Writes a token table as files in ascending doc_id order; equal ids keep any order among them."""
+    """Writes a token table as files in ascending doc_id order, and deletes it if it is a written step.
+
+    Rows that repeat an id are ordered by their codes, so that the files don't
+    depend on the order of the input; null ids come first.
+    """
     spark = tokens.sparkSession
     ranks = ranks_of(tokens)
     ranks.coalesce(1).write.parquet(f"{folder}/ranks")
@@ -134,10 +138,13 @@ def write(tokens: DataFrame, folder: str) -> None:
         if rows:
             yield block()
 
-    packed = tokens.select("doc_id", "ids", "n").mapInArrow(pack, "doc_id long, n long, control binary, data binary")
-    ordered = packed.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    # Written, since a range partitioning reads its input twice.
+    packed = written(tokens.select("doc_id", "ids", "n").mapInArrow(pack, "doc_id long, n long, control binary, data binary"), "packed")
+    superseded(tokens)
+    ordered = packed.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "n", "control", "data")
     # The text sink writes the bytes of a string column as they are, one block and "\n" a row.
     ordered.mapInArrow(blocks, "value binary").select(F.col("value").cast("string")).write.text(f"{folder}/blocks", lineSep="\n")
+    superseded(packed)
 
 
 def read(spark: SparkSession, folder: str, digests: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -41,22 +42,38 @@ def library(path):
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
-PIECES = st.lists(st.sampled_from(["a", "B", "é", "é", "1", "½", " ", "  ", "\n", " ", " ", "\x1c", "\x85", ".", ",", "'s", "'", "^", "<|endoftext|>", "日", "İ", "Σ", "ß", "Ǆ", "🙂", "word"]), max_size=25).map("".join)
+PIECES = st.lists(
+    st.sampled_from(["a", "B", "\u00e9", "e\u0301", "1", "\u00bd", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u2003", "\u3000", "\ufeff", "\u2014", "\u2028", "\x1c", "\x85", "\x00", ".", ",", "'s", "'", "=\u0338", "^", " ^ ", "<|endoftext|>", "\u65e5", "\u3042", "\u0130", "\u03a3", "\u00df", "\u01c4", "\u00d7", "\u0250", "\U0001f642", "word", " Word"]), max_size=25
+).map("".join)
+
+
+def ids_of(enc, texts):
+    ids, ends = enc.encode(pa.array([None if t is None else t.encode() for t in texts], pa.binary()))
+    parts = [x.tolist() for x in np.split(ids, ends[:-1])] if len(ends) else []
+    assert all(p[-1] == tokens.END_ID for p in parts) and sum(map(len, parts)) == len(ids)
+    return [p[:-1] for p in parts]
 
 
 @pytest.mark.parametrize(("path", "drops"), [(WORD, True), (BYTE, False)])
 def test_chunks_give_the_ids_of_whole_texts(path, drops):
     enc, plain = tokens.ChunkEncoder(path, drops, limit=50), library(path)
 
-    @settings(max_examples=400, deadline=None)
-    @given(st.lists(PIECES, min_size=1, max_size=3))
+    @settings(max_examples=1500, deadline=None)
+    @given(st.lists(st.one_of(st.none(), PIECES), min_size=0, max_size=4))
     def check(texts):
-        got = enc.encode([t.encode() for t in texts])
-        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [plain(t) for t in texts]
+        assert ids_of(enc, texts) == [plain(t) for t in texts]
 
     check()
 
 
+def test_texts_are_encoded_in_slices(monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE", 40)
+    texts = [t for _, t, *_ in rows()]
+    for path, drops in ((WORD, True), (BYTE, False)):
+        enc, plain = tokens.ChunkEncoder(path, drops, limit_bytes=200), library(path)
+        assert ids_of(enc, texts) == [plain(t) for t in texts]
+
+
 def test_token_files_round_trip(spark, docs):
     plain, folder = library(WORD), new_path(spark, "t")
     token_files.save(docs, WORD, folder)
