@@ -1,7 +1,7 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
 Documents are labelled, tokens are not. Within the training documents, words
-and word beginnings that occur significantly and almost only in toxic
+and word beginnings that occur significantly and mostly in toxic
 documents mark the tokens of those documents; tokens of clean documents are
 all clean. A two-state chain is fitted to these token labels. Marginals of the
 forward-backward pass over a whole text give the offending offsets (tokens at
@@ -22,14 +22,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 #: Bounds of the training sample: toxic and clean documents, and characters of
 #: each; longer texts are not trained on. Scoring has no such bound.
 TOXIC_DOCS, CLEAN_DOCS, TRAIN_CHARS = 1500, 4500, 20_000
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
+#: How many times as many toxic as clean training documents have a marker.
+MARKER_ODDS = 4
 WINDOW = 10  # tokens on either side of a training token
-#: Tokens of one chain segment, and of the context before and after it, within
-#: which the messages forget where they began.
-SEGMENT, CONTEXT = 1024, 64
+#: Training tokens of a document: marked ones of a toxic one, unmarked ones like them of a clean one, any others of either.
+MARKED, ALIKE, OTHERS = 12, 4, (3, 1)
+#: Tokens of one segment of a long chain. Messages pass between segments exactly.
+SEGMENT = 1024
 POINTS = ".,;:!?\"'()[]{}|<>-_*#/\\=+~`"
 SCORE = "struct<score: double, spans: array<struct<start: int, end: int>>>"
 
@@ -46,11 +51,13 @@ def _sketch(words: list[str]) -> tuple[int, int]:
     return min(grams), min(g * 2654435761 % (1 << 32) for g in grams)
 
 
-def _marginals(unary: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
+def _marginals(unary: np.ndarray, lengths: np.ndarray, trans: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
     """Probability of state 1 of every token of chains that lie one after the other in `unary`.
 
     All chains advance together, one token a step, longest chains first; with
-    two states a message is one number, the ratio of its two entries.
+    two states a message is one number, the ratio of its two entries. `before`
+    and `after` are the messages that enter at the ends of segments (nan where a
+    chain begins, 1 where it ends).
     """
     order = np.argsort(-lengths, kind="stable")
     size = lengths[order]
@@ -60,13 +67,14 @@ def _marginals(unary: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.
     ahead, back = np.empty(len(e)), np.empty(len(e))
     steps = int(size[0]) if len(size) else 0
     active = len(size) - np.searchsorted(size[::-1], np.arange(steps), side="right")
-    r = np.empty(0)
+    r = np.full(len(size), np.nan) if before is None else before[order]
     for k in range(steps):
         n = active[k]
-        at = first[:n] + k
-        r = e[at] if k == 0 else e[at] * (t[0, 1] + r[:n] * t[1, 1]) / (t[0, 0] + r[:n] * t[1, 0])
+        at, r = first[:n] + k, r[:n]
+        step = e[at] * (t[0, 1] + r * t[1, 1]) / (t[0, 0] + r * t[1, 0])
+        r = np.where(np.isnan(r), e[at], step) if k == 0 else step
         ahead[at] = r
-    s = np.ones(len(size))
+    s = np.ones(len(size)) if after is None else after[order]
     for k in range(steps - 1, -1, -1):
         n = active[k]
         at = first[:n] + k
@@ -77,26 +85,55 @@ def _marginals(unary: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.
     return odds / (1 + odds)
 
 
+def _through(unary: np.ndarray, first: np.ndarray, size: np.ndarray, begins: np.ndarray, t: np.ndarray, backward: bool) -> np.ndarray:
+    """What each segment does to a message that passes it: a scaled 2 x 2 matrix over (ratio, 1)."""
+    out = np.broadcast_to(np.eye(2), (len(first), 2, 2)).copy()
+    for k in range(int(size.max(initial=0))):
+        on = np.flatnonzero(size > k)
+        e = np.exp(np.clip(unary[first[on] + (size[on] - 1 - k if backward else k)], -40, 40))
+        step = np.empty((len(on), 2, 2))
+        if backward:
+            step[:, 0, 0], step[:, 0, 1], step[:, 1, 0], step[:, 1, 1] = t[1, 1] * e, t[1, 0], t[0, 1] * e, t[0, 0]
+        else:
+            step[:, 0, 0], step[:, 0, 1], step[:, 1, 0], step[:, 1, 1] = t[1, 1] * e, t[0, 1] * e, t[1, 0], t[0, 0]
+            if k == 0:  # no step leads to the first token of a chain
+                step[begins[on]] = np.stack([np.stack([np.zeros_like(e), e], 1), np.stack([np.zeros_like(e), np.ones_like(e)], 1)], 1)[begins[on]]
+        now = step @ out[on]
+        out[on] = now / now.max(axis=(1, 2), keepdims=True)
+    return out
+
+
 def marginals(unary: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """_marginals over whole texts; long ones go in segments that overlap by their contexts."""
-    if not len(lengths) or lengths.max() <= SEGMENT + 2 * CONTEXT:
+    """Exact marginals of whole texts, however long.
+
+    Texts beyond SEGMENT tokens are cut; the messages at the cuts come from the
+    products of their segments' matrices, so cuts change nothing but rounding,
+    and a text's marginals don't depend on the others.
+    """
+    lengths = np.asarray(lengths, np.int64)
+    parts = np.maximum(1, -(-lengths // SEGMENT))
+    if (parts == 1).all():
         return _marginals(unary, lengths, trans)
-    lo, hi, keep_lo, keep_hi = [], [], [], []
-    for start, n in zip(np.cumsum(lengths) - lengths, lengths, strict=True):
-        for s in range(0, int(n), SEGMENT) if n else []:
-            e = min(int(n), s + SEGMENT)
-            lo.append(start + max(0, s - CONTEXT))
-            hi.append(start + min(int(n), e + CONTEXT))
-            keep_lo.append(start + s)
-            keep_hi.append(start + e)
-    lo, hi, keep_lo, keep_hi = (np.array(x, np.int64) for x in (lo, hi, keep_lo, keep_hi))
-    n = hi - lo
-    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    p = _marginals(unary[at], n, trans)
-    own = (at >= np.repeat(keep_lo, n)) & (at < np.repeat(keep_hi, n))
-    out = np.empty(len(unary))
-    out[at[own]] = p[own]
-    return out
+    t = np.exp(np.clip(trans, -20, 20))
+    text = np.repeat(np.arange(len(lengths)), parts)
+    own = np.cumsum(parts) - parts  # the first segment of each text
+    number = np.arange(len(text)) - own[text]
+    first = (np.cumsum(lengths) - lengths)[text] + number * SEGMENT
+    size = np.minimum(SEGMENT, lengths[text] - number * SEGMENT)
+    many = np.flatnonzero(parts[text] > 1)
+    at = np.full(len(text), -1)
+    at[many] = np.arange(len(many))
+    ahead, back = (_through(unary, first[many], size[many], number[many] == 0, t, x) for x in (False, True))
+    before, after = np.full(len(text), np.nan), np.ones(len(text))
+    for k in range(1, int(parts.max())):
+        to = own[parts > k] + k
+        m, r = ahead[at[to - 1]], np.nan_to_num(before[to - 1], nan=1.0)
+        before[to] = (m[:, 0, 0] * r + m[:, 0, 1]) / (m[:, 1, 0] * r + m[:, 1, 1])
+    for k in range(int(parts.max()) - 1, 0, -1):
+        of = own[parts > k] + k
+        m, s = back[at[of]], after[of]
+        after[of - 1] = (m[:, 0, 0] * s + m[:, 0, 1]) / (m[:, 1, 0] * s + m[:, 1, 1])
+    return _marginals(unary, size, trans, before, after)
 
 
 @dataclass
@@ -107,7 +144,7 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
     trans: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     doc: np.ndarray = field(default_factory=lambda: np.array([-8.0, 0.0, 0.0]))
-    limit: int = 800_000  # words whose scores a worker keeps
+    limit: int = 250_000  # words whose scores a worker keeps
 
     def __post_init__(self) -> None:
         self._known: dict[str, float] = {}
@@ -165,7 +202,7 @@ def _summary(p: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _markers(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
-    """Features that stand significantly, and almost only, in toxic documents."""
+    """Features that stand significantly, and mostly, in toxic documents."""
     pos = Counter(f for words in toxic for f in {f for w in set(words) for f in features(w)})
     kinds = len(pos)
     pos = Counter({f: k for f, k in pos.items() if k >= 3})
@@ -175,7 +212,7 @@ def _markers(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
     for f, k in pos.items():
         m = neg[f]
         g = k * math.log(k / (k + m) / base) + (m * math.log(m / (k + m) / (1 - base)) if m else 0)
-        if k >= 19 * m and g >= math.log(kinds) + 2:
+        if k >= MARKER_ODDS * m and g >= math.log(kinds) + 2:
             out.add(f)
     return out
 
@@ -197,10 +234,9 @@ def fit(texts: list[str], labels: list[int], rounds: int = 80, seed: int = 7) ->
     chains: list[tuple[list[str], list[int]]] = []
     for words, y in [*((w, 1) for w in toxic), *((w, 0) for w in clean)]:
         tags = [int(bool(y) and any(f in marks for f in features(w))) for w in words]
-        centres = [i for i, t in enumerate(tags) if t][:12] if y else []
-        centres += rng.integers(0, len(words), 1 if y else 3).tolist()
-        if not y:
-            centres += [i for i, w in enumerate(words) if any(f in marks for f in features(w))][:4]
+        like = [i for i, w in enumerate(words) if any(f in marks for f in features(w))]
+        centres = rng.permutation(like)[: MARKED if y else ALIKE].astype(int).tolist()
+        centres += rng.integers(0, len(words), OTHERS[0] if not y else OTHERS[1]).tolist()
         for c in centres:
             s = slice(max(0, c - WINDOW), c + WINDOW + 1)
             chains.append((words[s], tags[s]))
@@ -275,7 +311,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = 80, seed: int = 7) ->
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % 5 == 0
+    """Whether a row belongs to the fifth that is never trained on; a row without an id does not."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -318,5 +355,6 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents with a score below the threshold, with all their columns."""
-    return docs.withColumn("__r", scorer(docs.sparkSession, model)(F.col(text_col))).where(F.col("__r.score") < threshold).drop("__r")
+    """The documents with a score below the threshold, with all their columns, whatever their names."""
+    (got,) = free_names(docs, "toxicity")
+    return docs.withColumn(got, scorer(docs.sparkSession, model)(F.col(text_col))).where(F.col(f"{got}.score") < threshold).drop(got)
