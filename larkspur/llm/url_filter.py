@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import zlib
-from itertools import product
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +15,15 @@ from pyspark.sql import functions as F
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 MAX_RULES = 1000
 BITS, NGRAMS = 18, (3, 4, 5)
+#: Most labelled URLs of a fit, which runs on the driver.
+MAX_EXAMPLES = 100_000
+TABLE = Path(__file__).with_name("labelled_urls.csv")
 
-#: The small labelled table: 1 is to be blocked.
-_BLOCK = ("casino", "poker", "jackpot", "viagra", "pills", "xxx", "porn", "sex", "escort", "torrent", "warez", "crack", "keygen", "betting", "loan", "payday", "hookup", "clickbait", "track", "spam")
-_ALLOW = ("news", "wiki", "docs", "university", "library", "journal", "science", "museum", "recipes", "garden", "history", "travel", "school", "research", "weather", "sports", "music", "books", "health", "guide")
-_SHAPES = ("http://{0}.example.org/{1}/12", "https://www.{0}-{1}.net/", "https://blog.{0}.org/{1}.html", "http://{0}{1}.info/index?id=3")
-EXAMPLES = tuple((shape.format(a, b), y) for y, words in ((1, _BLOCK), (0, _ALLOW)) for shape, (a, b) in product(_SHAPES, zip(words, words[1:] + words[:1], strict=True)))
 
+def labelled(path: str | Path = TABLE) -> list[tuple[str, int]]:
+    """(url, label) of a CSV file with the columns label and url; label 1 is to be blocked."""
+    with open(path, encoding="utf-8", newline="") as f:
+        return [(r["url"], int(r["label"])) for r in csv.DictReader(f)]
 
 def split_url(url: str | None) -> tuple[str, str]:
     """Host with A-Z lower-cased, and path; both empty without ://."""
@@ -38,8 +41,12 @@ def grams(host: str, path: str) -> np.ndarray:
     return np.unique(np.array(out, np.int64))
 
 
-def fit(examples=EXAMPLES, rounds: int = 200, rate: float = 2.0, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch gradient descent; rows are scaled to unit length."""
+def fit(examples=None, rounds: int = 400, rate: float = 8.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias by full-batch gradient descent; rows are scaled to unit length.
+
+    `examples`: (url, label) pairs, 1 to be blocked; by default the labelled table beside this module.
+    """
+    examples = labelled() if examples is None else examples
     x = [grams(*split_url(u)) for u, _ in examples]
     y = np.array([v for _, v in examples], float)
     row, col = np.repeat(np.arange(len(x)), [len(g) for g in x]), np.concatenate(x)
@@ -80,22 +87,50 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, action
 
 
-def judged(pages: DataFrame, examples=EXAMPLES, rules=RULES, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:
+def auc(score: np.ndarray, label: np.ndarray) -> float:
+    """The share of pairs of a blocked and an allowed URL in right order."""
+    one, two = score[label == 1], score[label == 0]
+    return float(((one[:, None] > two[None]) + 0.5 * (one[:, None] == two[None])).mean())
+
+
+def held_out_scores(examples=None, folds: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Score and label of every example, by a model fitted without its fold; folds go by host, so that none is known."""
+    examples = labelled() if examples is None else examples
+    fold = np.array([zlib.crc32(split_url(u)[0].encode()) % folds for u, _ in examples])
+    score = np.zeros(len(examples))
+    for k in range(folds):
+        w, b = fit([e for e, f in zip(examples, fold, strict=True) if f != k])
+        for i in np.flatnonzero(fold == k):
+            score[i] = probability(*split_url(examples[i][0]), w, b)
+    return score, np.array([y for _, y in examples])
+
+
+def judged(pages: DataFrame, examples=None, rules=RULES, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict and the model's probability of a block, of every row.
 
-    A null URL, or one without ://, has empty host and path, which no rule fits.
+    The model judges what no rule fits; elsewhere its probability is null. A null
+    URL, or one without ://, has empty host and path, which no rule fits. URLs
+    may have any length; rows that repeat are judged each; other columns are left
+    out. `examples`: (url, label) pairs, or a DataFrame of them of at most
+    MAX_EXAMPLES rows, which are collected for the fit.
     """
+    if isinstance(examples, DataFrame):
+        rows = examples.limit(MAX_EXAMPLES + 1).collect()
+        if len(rows) > MAX_EXAMPLES:
+            raise ValueError(f"at most {MAX_EXAMPLES} labelled URLs")
+        examples = [(r[0], int(r[1])) for r in rows if r[1] is not None]
     w, b = fit(examples)
     held = pages.sparkSession.sparkContext.broadcast((w.astype(np.float32), b))
 
     @F.arrow_udf("double")
     def model(host: pa.Array, path: pa.Array) -> pa.Array:
         w, b = held.value
-        return pa.array([probability(h, p, w, b) for h, p in zip(host.to_pylist(), path.to_pylist(), strict=True)], pa.float64())
+        return pa.array([None if h is None else probability(h, p, w, b) for h, p in zip(host.to_pylist(), path.to_pylist(), strict=True)], pa.float64())
 
     rest, host = rest_of(url_col), host_of(url_col)
     parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    scored = parts.select("*", rule.alias("rule"), action.alias("action"), model("host", "path").alias("block_probability"))
+    ruled = parts.select("*", rule.alias("rule"), action.alias("action"))
+    scored = ruled.select("*", model(F.when(F.col("action").isNull(), F.col("host")), F.col("path")).alias("block_probability"))
     verdict = F.coalesce("action", F.when(F.col("block_probability") >= threshold, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_probability")
