@@ -27,8 +27,12 @@ MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 SPLIT_BYTES, CHUNK = 32 << 20, 1 << 20
+#: Beyond so many ranges a reading task gets several.
+MAX_TASKS = 100_000
 SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, path string, offset long"
 #: Schemes that pyarrow opens on executors for reading ranges; files elsewhere are read whole by Spark.
+#: Stores where a rename moves no bytes.
+RENAMES = ("file", "hdfs", "viewfs", "abfs", "abfss")
 RANGED = ("file", "s3", "s3a", "gs", "gcs", "hdfs", "abfs", "abfss")
 
 
@@ -86,14 +90,18 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
     Payloads of at least `min_bytes` that are equal are stored once, as the
     response with the smallest id; null ids never are that one unless all are.
-    Rows that repeat an id and its payload get the same kind of record.
+    Rows that repeat an id and its payload get the same kind of record. A record
+    is made in memory, so a payload can have some hundred MB; other columns are
+    left out. An empty table writes no record.
     """
     spark = pages.sparkSession
     raw = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), raw.alias("payload"), F.unhex(F.sha1(raw)).alias("sha"))
     keys = written(rows.where(F.length("payload") >= min_bytes).select("page_id", "sha"), "payload-keys")
     first = keys.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
-    again = keys.join(written(first, "first"), "sha").where("not page_id <=> refers_to").select(F.col("page_id").alias("p"), F.col("sha").alias("s"), "refers_to").distinct()
+    # Ids of a payload are made distinct before they meet its first id, so that a frequent payload is many keys; the join after that can be split.
+    own = keys.groupBy("sha", "page_id").agg(F.count("*").alias("n")).select("sha", "page_id")
+    again = own.join(written(first.select("sha", "refers_to"), "first"), "sha").where("not page_id <=> refers_to").select(F.col("page_id").alias("p"), F.col("sha").alias("s"), "refers_to")
     again = written(again, "revisits")  # its size decides how it is joined
     both = rows.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left").select("page_id", "url", "payload", "refers_to")
 
@@ -110,6 +118,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     both.mapInArrow(members, "value binary").select(F.col("value").cast("string")).write.text(folder, lineSep="\0")
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() not in RENAMES:
+        return  # renaming copies there: files keep the sink's names
     for f in fs.listStatus(path(folder)):  # names only
         name = f.getPath().getName()
         if name.endswith(".txt"):
@@ -177,8 +187,12 @@ def scan(f, start: int, end: int, size: int) -> Iterator[tuple[int, bytes]]:
         at = after
 
 
-def read(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES, with_payload: bool = False, glob: str = "*.warc.gz") -> DataFrame:
-    """One row per record of the archives in a folder, with the payload if asked for."""
+def read(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES, with_payload: bool = False, glob: str = "*.{warc.gz,txt}") -> DataFrame:
+    """One row per record of the archives in a folder, with the payload if asked for.
+
+    Every range of `split_bytes` is a task's unit of work; a record is inflated
+    whole in memory. A folder without archives gives an empty result.
+    """
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "path", "offset", *["payload"] * with_payload]
     schema = SCHEMA + ", payload binary" * with_payload
@@ -215,4 +229,5 @@ def read(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES, with_
         return found.select("path", "content").mapInPandas(whole, schema)
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
     tasks = found.where("length > 0").select("path", "length", starts.alias("start"))
-    return tasks.repartition("path", "start").mapInPandas(ranges, schema)
+    # An explicit number: ranges are few bytes each, and would be packed together by their size.
+    return tasks.repartition(max(1, min(tasks.count(), MAX_TASKS))).mapInPandas(ranges, schema)
