@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, free_names, written
 
 RADIUS, SEED = 3, 42
 #: Largest bucket whose members are compared directly; 2**8 ends the recursion.
@@ -173,6 +173,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """The documents of `docs` that have the smallest id of their group; rows without an id stay."""
-    gone = groups(docs, id_col, text_col, width).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The documents of `docs` that have the smallest id of their group, with all their columns; rows without an id stay.
+
+    Rows that repeat the id that stays all stay. Columns may have any names.
+    """
+    (gone,) = free_names(docs, "gone")
+    dropped = groups(docs, id_col, text_col, width).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(written(dropped, "gone"), F.col(id_col) == F.col(gone), "left_anti")

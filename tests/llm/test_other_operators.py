@@ -4,13 +4,16 @@ import gzip
 import io
 import math
 import random
+import time
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from larkspur.llm import embedding_dedup, exact_dedup, html_text, queries, simhash, toxicity, url_filter, warc
-from larkspur.llm.common import new_path
+from larkspur.llm import embedding_dedup, exact_dedup, html_text, near_dedup, queries, toxicity, url_filter, warc
+from larkspur.llm.common import new_path, written
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,11 +46,59 @@ def test_html_text_of_odd_pages(source, text):
     assert html_text.induce([source]) == [text]
 
 
+def plain_match(a, b):
+    """Simple tree matching as it is defined."""
+    if a.sig != b.sig:
+        return 0
+    m = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, x in enumerate(a.kids):
+        for j, y in enumerate(b.kids):
+            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + plain_match(x, y))
+    return 1 + m[-1][-1]
+
+
+def random_tree(r, depth=0):
+    return "".join(f"<{t}>{random_tree(r, depth + 1) if depth < 4 and r.random() < 0.6 else 'x'}</{t}>" for t in r.choices(["div", "section", "span", "p"], k=r.randint(1, 5)))
+
+
 def test_simple_tree_matching():
-    a = html_text.Part([html_text.parse("<div><h1>a</h1><p>b</p><p>c</p><ul><li>d</ul></div>")])
-    b = html_text.Part([html_text.parse("<div><p>b</p><table></table><ul><li>x<li>y</ul></div>")])
+    shapes = {}
+    a = html_text.fold(html_text.parse("<div><h1>a</h1><p>b</p><p>c</p><ul><li>d</ul></div>"), shapes)
+    b = html_text.fold(html_text.parse("<div><p>b</p><table></table><ul><li>x<li>y</ul></div>"), shapes)
     assert html_text.match(a, b)[0] == 5  # root, div, run of p, ul, run of li
     assert html_text.match(a, a)[0] == a.size
+    r = random.Random(4)
+    for _ in range(150):
+        a, b = (html_text.fold(html_text.parse(random_tree(r)), shapes) for _ in range(2))
+        size, pairs = html_text.match(a, b)
+        assert size == plain_match(a, b) == len(pairs)
+        assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == size and all(x.path == y.path for x, y in pairs)
+
+
+@pytest.mark.parametrize("source", ["<div>" * 10_000 + "deep", "<b>" * 10_000 + "deep" + "</b>" * 10_000, "<ul><li>" * 5_000 + "deep", "<h2>a</h2><p>b</p>" * 5_000, "<p>" + "word " * 200_000])
+def test_html_of_any_depth_and_width(source):
+    began = time.process_time()
+    got = html_text.induce([source, source + "<p>end", source[: len(source) // 2]])
+    assert got[1].endswith("end") and got[0] == got[1].removesuffix("end").strip("\n")
+    assert time.process_time() - began < 5
+
+
+def test_wrapper_decides_pages_without_telling_names():
+    """The same pages with the wrapper and without it."""
+    page = "<div class=x1><div class=x2>Our great site</div><div class=x3><p>Story {n} begins</p><p>and ends {n}</p></div><div class=x4>Read on at <a>the front page</a></div></div>"
+    pages = [page.format(n=i) for i in range(6)]
+    constant = html_text.wrapper([html_text.parse(p) for p in pages])
+    assert [html_text.content(html_text.parse(p), constant) for p in pages] == [f"Story {i} begins\nand ends {i}" for i in range(6)]
+    assert html_text.content(html_text.parse(pages[0]), set()) == "Our great site\nStory 0 begins\nand ends 0\nRead on at the front page"
+
+
+def test_pages_of_one_large_host_share_a_wrapper(spark, monkeypatch):
+    """More pages than a group: all are freed of what a sample shows to be constant."""
+    monkeypatch.setattr(html_text, "GROUP_PAGES", 16)
+    page = "<article><h1>Title {n}</h1><p>Text of {n}</p><p>Write to us.</p></article>"
+    pages = spark.createDataFrame([(i, "http://one.example/", page.format(n=i), "x") for i in range(200)] + [(1000 + i, "http://two.example/", page.format(n=i), "x") for i in range(2)], "page_id long, url string, html string, wrapper string")
+    got = {r.page_id: r.text for r in html_text.main_text(pages, url_filter.host_of("url")).collect()}
+    assert got == {i: f"Title {i}\nText of {i}" for i in range(200)} | {1000 + i: f"Title {i}\nText of {i}\nWrite to us." for i in range(2)}
 
 
 def test_html_table(spark):
@@ -78,11 +129,23 @@ def test_urls(spark):
     assert url_filter.judged(pages.limit(0)).count() == 0
 
 
-def test_url_model_on_other_urls():
+def test_url_model_on_hosts_it_has_not_seen():
+    score, label = url_filter.held_out_scores()
+    assert len(label) >= 200 and url_filter.auc(score, label) >= 0.85 and ((score >= 0.5) == label).mean() >= 0.75
     w, b = url_filter.fit()
     p = lambda u: url_filter.probability(*url_filter.split_url(u), w, b)
-    assert min(p("http://best-casino.example/poker/x"), p("https://free.torrent.example/warez/4")) > 0.5
-    assert max(p("http://city-library.example/books/7"), p("https://weather.example/guide/2")) < 0.5
+    assert min(p("http://best-casino.test/poker/x"), p("https://free-torrent.test/warez/4")) > 0.5
+    assert max(p("http://city-library.test/books/7"), p("https://weather.test/guide/2")) < 0.5
+
+
+def test_urls_of_a_table_and_odd_rows(spark):
+    """A model from a given table; very long, repeated and null URLs; the model leaves ruled rows alone."""
+    own = spark.createDataFrame([("http://bad.test/a", 1), ("http://good.test/b", 0), ("http://worse.test/", None)], "url string, label int")
+    long = "http://long.test/" + "a/" * 100_000
+    pages = spark.createDataFrame([(1, long, "r"), (1, long, "r"), (None, None, None), (2, "http://x.com/bad", "r")], "page_id long, url string, rule string")
+    got = sorted(url_filter.judged(pages, own).collect(), key=repr)
+    assert len(got) == 4 and {len(r.path) for r in got if r.page_id == 1} == {200_001}
+    assert [r.block_probability for r in got if r.rule] == [None] and all(0 < r.block_probability < 1 for r in got if not r.rule)
 
 
 def pages_table(spark):
@@ -224,6 +287,7 @@ def test_toxicity_on_held_out_documents(spark):
 
 
 def test_pipeline(spark):
+    """Every stage by brute force: the fitted model, equal texts, five-word Jaccard of 0.8, and pieces that hold each id once."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -236,21 +300,51 @@ def test_pipeline(spark):
         key = "".join(c for c in r.text or "" if c not in exact_dedup.SPACE)
         best[key] = min(best.get(key, (0, math.inf)), (-len(r.text or ""), r.doc_id))
     left = {i for _, i in best.values()}
-    fps = sorted((r.doc_id, simhash.fingerprint((r.text or "").encode())) for r in clean if r.doc_id in left)
-    low = dict.fromkeys((i for i, _ in fps))
-    low = {i: i for i in low}
+    sets = {r.doc_id: near_dedup.shingles((r.text or "").encode()) for r in clean if r.doc_id in left}
+    low = {i: i for i in sets}
     changed = True
     while changed:
         changed = False
-        for i, a in fps:
-            for j, b in fps:
-                if low[i] < low[j] and (a ^ b).bit_count() <= 3:
+        for i in sets:
+            for j in sets:
+                if low[i] < low[j] and near_dedup.jaccard(sets[i], sets[j]) >= 0.8:
                     low[j], changed = low[i], True
     got = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in got} == {i for i in low if low[i] == i}
     assert [s for s, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash", "packing"]
-    size = {r.doc_id: r.doc_tokens for r in got}
-    assert sum(r.length for r in got) == sum(size.values())
+    text, pieces, windows = {r.doc_id: r.text or "" for r in rows}, {}, {}
+    for r in got:
+        pieces.setdefault(r.doc_id, []).append(r)
+        windows.setdefault(r.sequence_id, []).append(r)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    for i, own in pieces.items():
+        ids, at = [*tokenizer.encode(text[i], add_special_tokens=False).ids, 1], 0
+        for r in sorted(own, key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes()))
+            at += r.length
+        assert at == len(ids)
+    for k, own in windows.items():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at == 2048 or k == max(windows)
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Null texts, sources and ids, clashing columns, an empty table."""
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, gone int, h string, toxicity int, queue int, best string"
+    data = [(i, None if i % 5 == 0 else f"word{i} " * (i + 1), None, None if i % 2 else "s", 1, 1, "h", 1, 1, "b") for i in range(12)] + [(None, "no id", None, "s", 1, 1, "h", 1, 1, "b")]
+    for rows, ids in ((data, {0, *(i for i in range(12) if i % 5)} | {None}), ([], set())):
+        docs = spark.createDataFrame(rows, kind)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs, columns = stage(spark, docs, SF) if rows or name != "toxicity" else docs, docs.columns
+            assert docs.columns == columns
+            docs = written(docs, name)
+        assert {r.doc_id for r in corpus_pipeline.pack(spark, docs, SF).collect()} == ids
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
