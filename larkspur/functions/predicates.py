@@ -45,7 +45,7 @@ def exact_any_of(df: DataFrame, key: str, values: Sequence) -> Column:
 
 
 def regex_full(col: Column, pattern: str) -> Column:
-    return F.coalesce(col.cast("string").rlike(f"^(?:{pattern})$"), F.lit(False))
+    return F.coalesce(col.cast("string").rlike(rf"\A(?:{pattern})\z"), F.lit(False))
 
 
 def regex_partial(col: Column, pattern: str, ignore_case: bool = False) -> Column:
@@ -76,7 +76,7 @@ def any_of(*conditions: Column) -> Column:
 def property_filter(props: Column, patterns: dict[str, str], ignore_case: bool = False, loose: bool = False) -> Column:
     """Every key pattern has to find a property whose value fits its value pattern; loose patterns fit parts."""
     flag = "(?i)" if ignore_case else ""
-    whole = (lambda p: flag + p) if loose else (lambda p: f"{flag}^(?:{p})$")
+    whole = (lambda p: flag + p) if loose else (lambda p: rf"{flag}\A(?:{p})\z")
 
     def found(k: str, v: str) -> Column:
         return F.exists(F.map_entries(props), lambda e: e["key"].rlike(whole(k)) & e["value"].rlike(whole(v)))
@@ -85,8 +85,19 @@ def property_filter(props: Column, patterns: dict[str, str], ignore_case: bool =
 
 
 def free_search(id_col: Column, props: Column, pattern: str) -> Column:
-    """A full match of the id or of any property value."""
-    return id_col.cast("string").rlike(f"^(?:{pattern})$") | F.exists(F.map_values(props), lambda v: v.rlike(f"^(?:{pattern})$"))
+    """A full match of the id or of any property value; a pattern that is a number finds the node of that id."""
+    return id_col.cast("string").rlike(rf"\A(?:{pattern})\z") | F.exists(F.map_values(props), lambda v: v.rlike(rf"\A(?:{pattern})\z"))
+
+
+def property_values(df: DataFrame, own: Sequence[str] = ("id", "label", "eid", "src", "dst", "type")) -> Column:
+    """The values of the properties that a row has, as strings in column order."""
+    return F.filter(F.array(*[F.col(c).cast("string") for c in df.columns if c not in own]), lambda x: x.isNotNull())
+
+
+def filter_groups(groups: dict[str, Sequence[Column]], any_group: bool = False) -> Column:
+    """Conditions in named groups: all of a group, and all groups or any."""
+    each = [all_of(*g) for g in groups.values()]
+    return any_of(*each) if any_group else all_of(*each)
 
 
 def as_set(col: Column, many: bool) -> Column:
@@ -110,15 +121,36 @@ XSD = {
 }
 
 
+#: Digits of XSD dates and times, with a zone or none.
+_ZONE = r"(Z|[+-]\d{2}:\d{2})?"
+
+
 def xsd_value(col: Column, datatype: str) -> Column:
-    """A literal in the SQL type of its datatype, null if malformed; unknown datatypes raise."""
+    """A literal in the SQL type of its datatype, null if malformed; unknown datatypes raise.
+
+    A dateTime without a zone is in UTC; of a date or year the zone is left out.
+    Booleans are true, false, 1 and 0.
+    """
     if datatype not in XSD:
         raise ValueError(f"unknown datatype {datatype}")
+    text = F.trim(col.cast("string"))
+    if datatype == "dateTime":
+        parts = rf"^(-?\d{{4,}}-\d{{2}}-\d{{2}})T(\d{{2}}:\d{{2}}:\d{{2}}(?:\.\d+)?){_ZONE}$"
+        zone = F.when(F.regexp_extract(text, parts, 3).isin("", "Z"), "+00:00").otherwise(F.regexp_extract(text, parts, 3))
+        return F.when(text.rlike(parts), F.concat(F.regexp_extract(text, parts, 1), F.lit(" "), F.regexp_extract(text, parts, 2), zone).try_cast("timestamp"))
+    if datatype == "date":
+        return F.when(text.rlike(rf"^-?\d{{4,}}-\d{{2}}-\d{{2}}{_ZONE}$"), F.regexp_extract(text, r"^(-?\d{4,}-\d{2}-\d{2})", 1).try_cast("date"))
+    if datatype == "gYear":
+        return F.when(text.rlike(rf"^-?\d{{4,}}{_ZONE}$"), F.regexp_extract(text, r"^(-?\d{4,})", 1).try_cast("int"))
+    if datatype == "boolean":
+        return F.when(text.isin("true", "1"), True).when(text.isin("false", "0"), False)
     return col.try_cast(XSD[datatype])
 
 
 def xsd_literal(col: Column, datatype: str) -> Column:
-    """A value as a literal of its datatype."""
+    """A value as a literal of its datatype; a dateTime is written in the session's zone, with its offset."""
     if datatype == "dateTime":
-        return F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss")
+        return F.date_format(col, "yyyy-MM-dd'T'HH:mm:ssXXX")
+    if datatype == "gYear":
+        return F.lpad(col.cast("string"), 4, "0")
     return col.cast(XSD[datatype]).cast("string")

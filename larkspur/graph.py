@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from enum import Enum
 from functools import reduce
@@ -56,17 +56,27 @@ class Expander:
 
 @dataclass(frozen=True)
 class PropertyGraph:
-    """nodes(id, label, properties...), edges(eid, src, dst, type, properties...); ref_id names the reference node."""
+    """nodes(id, label, properties...), edges(eid, src, dst, type, properties...); ref_id names the reference node.
+
+    `parts`: where nodes and edges come from several tables with keys of their
+    own, a function that gives only those rows that can have a given id in a
+    given column; look-ups of one id then filter the tables by key.
+    """
 
     nodes: DataFrame
     edges: DataFrame
     ref_id: int | None = None
+    parts: Callable[[str, int], DataFrame] | None = None
+
+    def _at(self, column: str, value: int) -> DataFrame:
+        rows = self.nodes if column == "id" else self.edges
+        return (rows if self.parts is None else self.parts(column, value)).where(F.col(column) == value)
 
     def node(self, node_id: int) -> DataFrame:
-        return self.nodes.where(F.col("id") == node_id)
+        return self._at("id", node_id)
 
     def relationship(self, eid: int) -> DataFrame:
-        return self.edges.where(F.col("eid") == eid)
+        return self._at("eid", eid)
 
     def reference_node(self) -> DataFrame:
         return self.nodes.where(F.col("id") == F.lit(self.ref_id))
@@ -110,8 +120,9 @@ class PropertyGraph:
         return adj
 
     def relationships(self, node_id: int, expander: Expander = Expander()) -> DataFrame:
-        """Relationships of one node; the filter on both ends reaches the scan."""
-        adj = self.adjacency(expander).where(F.col("frm") == node_id)
+        """Relationships of one node: each end is looked up by itself."""
+        ends = self._at("src", node_id).union(self._at("dst", node_id).where(F.col("src") != node_id))
+        adj = replace(self, edges=ends, parts=None).adjacency(expander).where(F.col("frm") == node_id)
         return adj.select("eid", "type", F.col("frm").alias("node"), F.col("to").alias("other"))
 
     def expand(self, nodes: DataFrame, expander: Expander = Expander()) -> DataFrame:
@@ -119,6 +130,18 @@ class PropertyGraph:
         adj = self.adjacency(expander)
         return nodes.select("id").join(adj, F.col("id") == F.col("frm")).select("id", "eid", "type", F.col("to").alias("other"))
 
+    def expansion(self, nodes: DataFrame, expander: Expander = Expander(), including: DataFrame | None = None, excluding: DataFrame | None = None) -> DataFrame:
+        """expand(), only to nodes in `including` and to none in `excluding` (column id)."""
+        got = self.expand(nodes, expander)
+        for some, how in ((including, "left_semi"), (excluding, "left_anti")):
+            if some is not None:
+                got = got.join(some.select(F.col("id").alias("other")), "other", how)
+        return got.select("id", "eid", "type", "other")
+
+    def pairs(self, nodes: DataFrame, expander: Expander = Expander()) -> DataFrame:
+        """(id, other): the distinct pairs of an expansion."""
+        return self.expand(nodes, expander).select("id", "other").distinct()
+
     def degree(self, expander: Expander = Expander(), by_type: bool = False) -> DataFrame:
         """Relationships of every node that has any."""
         keys = ["frm", "type"] if by_type else ["frm"]
@@ -137,10 +160,10 @@ class PropertyGraph:
 
     # Changes give a new graph.
     def create_nodes(self, rows: DataFrame) -> PropertyGraph:
-        return replace(self, nodes=self.nodes.unionByName(rows, allowMissingColumns=True))
+        return replace(self, nodes=self.nodes.unionByName(rows, allowMissingColumns=True), parts=None)
 
     def create_relationships(self, rows: DataFrame) -> PropertyGraph:
-        return replace(self, edges=self.edges.unionByName(rows, allowMissingColumns=True))
+        return replace(self, edges=self.edges.unionByName(rows, allowMissingColumns=True), parts=None)
 
     def delete_nodes(self, ids: DataFrame, detach: bool = True) -> PropertyGraph:
         """Without the nodes in `ids` (column id), and with `detach` without their relationships."""
@@ -148,16 +171,16 @@ class PropertyGraph:
         if detach:
             gone = ids.select("id")
             edges = edges.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select(*self.edges.columns)
-        return replace(self, nodes=self.nodes.join(ids, "id", "left_anti"), edges=edges)
+        return replace(self, nodes=self.nodes.join(ids, "id", "left_anti"), edges=edges, parts=None)
 
     def delete_relationships(self, eids: DataFrame) -> PropertyGraph:
-        return replace(self, edges=self.edges.join(eids, "eid", "left_anti"))
+        return replace(self, edges=self.edges.join(eids, "eid", "left_anti"), parts=None)
 
     def set_property(self, key: str, value: Column, where: Column | None = None, on: str = "nodes") -> PropertyGraph:
         df = getattr(self, on)
         old = F.col(key) if key in df.columns else F.lit(None)
-        return replace(self, **{on: df.withColumn(key, value if where is None else F.when(where, value).otherwise(old))})
+        return replace(self, parts=None, **{on: df.withColumn(key, value if where is None else F.when(where, value).otherwise(old))})
 
     def remove_property(self, key: str, where: Column | None = None, on: str = "nodes") -> PropertyGraph:
         df = getattr(self, on)
-        return replace(self, **{on: df.drop(key) if where is None else df.withColumn(key, F.when(~where, F.col(key)))})
+        return replace(self, parts=None, **{on: df.drop(key) if where is None else df.withColumn(key, F.when(~where, F.col(key)))})

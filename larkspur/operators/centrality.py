@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import BOTH, Expander, PropertyGraph
-from ..plans.steps import settled
+from ..plans.steps import settled, superseded
 from . import paths
 
 
@@ -74,28 +74,76 @@ def eccentricity(graph: PropertyGraph, dist: DataFrame) -> DataFrame:
     return graph.nodes.select("id").join(far, F.col("id") == F.col("source"), "left").select("id", "eccentricity")
 
 
+def _matrix(graph: PropertyGraph, cost: Column | None, expander: Expander) -> DataFrame:
+    g = PropertyGraph(graph.nodes, graph.edges.withColumn("w", F.lit(1.0) if cost is None else cost.cast("double")))
+    return settled(g.adjacency(expander, keep=["w"]).groupBy("frm", "to").agg(F.sum("w").alias("w")), "matrix")
+
+
 def eigenvector(graph: PropertyGraph, cost: Column | None = None, expander: Expander = Expander(), precision: float = 1e-3, max_iterations: int = 100, fixed: int | None = None) -> DataFrame:
-    """(id, eigenvector): dominant eigenvector of the weighted adjacency, unit length, by power iteration from equal values.
+    """(id, eigenvector): dominant eigenvector of the weighted adjacency, unit length and not negative in sum, by power iteration from equal values.
 
     A node gets the values of the nodes that its relationships lead to. Stops
     when no value changes by more than `precision` relatively, or after
     `fixed` rounds.
     """
-    g = PropertyGraph(graph.nodes, graph.edges.withColumn("w", F.lit(1.0) if cost is None else cost.cast("double")))
-    adj = settled(g.adjacency(expander, keep=["w"]).groupBy("frm", "to").agg(F.sum("w").alias("w")), "matrix")
+    adj = _matrix(graph, cost, expander)
     x = settled(graph.nodes.select("id", F.lit(1.0).alias("x")), "vector")
     for k in range(fixed or max_iterations):
         y = adj.join(x, F.col("to") == F.col("id")).groupBy("frm").agg(F.sum(F.col("w") * F.col("x")).alias("y"))
         y = settled(x.select("id", F.col("x").alias("old")).join(y, F.col("id") == F.col("frm"), "left").select("id", "old", F.coalesce("y", F.lit(0.0)).alias("y")), "vector")
-        size = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 1.0
+        total = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))), F.sum("y")).first()
+        size = (total[0] or 1.0) * (-1 if (total[1] or 0) < 0 else 1)
         both = y.select("id", "old", (F.col("y") / size).alias("x"))
-        x = both.select("id", "x")
         moved = both.agg(F.max(F.abs(F.col("x") - F.col("old")) - precision * F.abs("x"))).first()[0]
+        superseded(x)
+        x = both.select("id", "x")
+        x._step = y._step
         if fixed is None and k and moved is not None and moved <= 0:
             break
     return x.select("id", F.col("x").alias("eigenvector"))
 
 
+def eigenvector_arnoldi(graph: PropertyGraph, cost: Column | None = None, expander: Expander = Expander(), precision: float = 1e-3, steps: int = 30, restarts: int = 20) -> DataFrame:
+    """(id, eigenvector): dominant eigenvector by Arnoldi iteration, unit length and not negative in sum.
+
+    The vectors are tables; only the small projected matrix, `steps` x `steps`,
+    is on the driver. Starts anew from the best vector so far until the residual
+    falls below `precision`.
+    """
+    import numpy as np
+
+    adj = _matrix(graph, cost, expander)
+    n = graph.nodes.count()
+    steps = max(1, min(steps, n))
+    start = graph.nodes.select("id", F.lit(n**-0.5).alias("v0"))
+    for _ in range(restarts):
+        basis, h = settled(start, "basis"), np.zeros((steps + 1, steps))
+        used = steps
+        for k in range(steps):
+            w = adj.join(basis.select(F.col("id").alias("to"), F.col(f"v{k}").alias("x")), "to").groupBy("frm").agg(F.sum(F.col("w") * F.col("x")).alias("y"))
+            basis = settled(basis.join(w, F.col("id") == F.col("frm"), "left").select(*basis.columns, F.coalesce("y", F.lit(0.0)).alias("y")), "basis")
+            for _again in range(2):  # once more, for rounding
+                dots = basis.agg(*[F.sum(F.col(f"v{i}") * F.col("y")).alias(f"d{i}") for i in range(k + 1)]).first()
+                h[: k + 1, k] += np.array(dots)
+                basis = basis.withColumn("y", F.col("y") - sum((F.col(f"v{i}") * float(d) for i, d in enumerate(dots)), F.lit(0.0)))
+            h[k + 1, k] = basis.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 0.0
+            if h[k + 1, k] < 1e-12:
+                used = k + 1
+                break
+            basis = settled(basis.withColumn(f"v{k + 1}", F.col("y") / float(h[k + 1, k])).drop("y"), "basis")
+        values, vectors = np.linalg.eig(h[:used, :used])
+        top = int(np.argmax(values.real))
+        y = np.real(vectors[:, top])
+        left = abs(h[used, used - 1] * y[-1]) if used < len(h) else 0.0
+        mixed = settled(basis.select("id", sum((F.col(f"v{i}") * float(c) for i, c in enumerate(y)), F.lit(0.0)).alias("x")), "vector")
+        total = mixed.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))), F.sum("x")).first()
+        size = (total[0] or 1.0) * (-1 if (total[1] or 0) < 0 else 1)
+        start = mixed.select("id", (F.col("x") / size).alias("v0"))
+        if left <= precision * abs(values[top]):
+            break
+    return start.select("id", F.col("v0").alias("eigenvector"))
+
+
 def mat_vec(matrix: DataFrame, vector: DataFrame) -> DataFrame:
     """Sparse matrix (row, col, value) times vector (col, value)."""
     v = vector.select("col", F.col("value").alias("v"))
@@ -103,7 +151,7 @@ def mat_vec(matrix: DataFrame, vector: DataFrame) -> DataFrame:
 
 
 def solve(matrix: DataFrame, right: DataFrame, limit: int = 2000) -> list[float]:
-    """Solution of a small dense system given as sparse tables; more than `limit` unknowns raise."""
+    """Solution of a small dense system given as sparse tables; more than `limit` unknowns are for solve_large()."""
     import numpy as np
 
     n = max((r or -1) for r in matrix.agg(F.max("row"), F.max("col")).first()) + 1
@@ -115,3 +163,30 @@ def solve(matrix: DataFrame, right: DataFrame, limit: int = 2000) -> list[float]
     for r in right.collect():
         b[r["row"]] = r["value"]
     return np.linalg.solve(a, b).tolist()
+
+
+def solve_large(matrix: DataFrame, right: DataFrame, precision: float = 1e-10, max_iterations: int = 1000) -> DataFrame:
+    """(row, value): solution of a sparse system of any size by conjugate gradients on the normal equations; vectors stay tables."""
+    a = settled(matrix.select("row", "col", F.col("value").cast("double").alias("value")), "matrix")
+    turned = a.select(F.col("col").alias("row"), F.col("row").alias("col"), "value")
+    names = a.select(F.col("col").alias("row")).distinct()
+
+    def times(m: DataFrame, v: DataFrame, c: str) -> DataFrame:
+        return mat_vec(m, v.select(F.col("row").alias("col"), F.col(c).alias("value")))
+
+    b = times(turned, right.select("row", F.col("value").cast("double").alias("r")), "r").withColumnRenamed("value", "r")
+    state = settled(names.join(b, "row", "left").select("row", F.lit(0.0).alias("x"), F.coalesce("r", F.lit(0.0)).alias("r")).withColumn("p", F.col("r")), "state")
+    norm = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
+    first = norm
+    for _ in range(max_iterations):
+        if norm <= precision**2 * max(first, 1e-300):
+            break
+        ap = times(turned, settled(times(a, state, "p").withColumnRenamed("value", "q"), "product"), "q").withColumnRenamed("value", "ap")
+        both = settled(state.join(ap, "row", "left").select("row", "x", "r", "p", F.coalesce("ap", F.lit(0.0)).alias("ap")), "both")
+        step = norm / both.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
+        both2 = both.select("row", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("ap")).alias("r"), "p")
+        now = both2.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
+        new = settled(both2.select("row", "x", "r", (F.col("r") + (now / norm) * F.col("p")).alias("p")), "state")
+        superseded(state, both)
+        state, norm = new, now
+    return state.select("row", F.col("x").alias("value"))

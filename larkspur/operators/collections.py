@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,7 +54,7 @@ def queue_rest(df: DataFrame, seq: list[str], n: int, lifo: bool = False) -> Dat
 
 def delete_reachable(graph: PropertyGraph, starts: DataFrame, expander: Expander = Expander()) -> PropertyGraph:
     """Without everything that can be reached from the starts, these included."""
-    gone = Traversal(expander).traverse(graph, starts).select(F.col("node").alias("id")).distinct()
+    gone = Traversal(expander).reached(graph, starts).select(F.col("node").alias("id")).distinct()
     return graph.delete_nodes(gone)
 
 
@@ -71,3 +73,55 @@ def changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     d = both_sides[0].join(both_sides[1], [key, "property"], "full_outer").where("not o <=> n")
     kind = F.when(F.col("property") == "", F.when(F.col("o").isNull(), "created").otherwise("deleted")).otherwise(F.when(F.col("n").isNull(), "removed").otherwise("assigned"))
     return d.select(key, kind.alias("kind"), "property", F.col("o").alias("old"), F.col("n").alias("new"))
+
+
+class Typed:
+    """Links from each node of a kind to at most one other (`single`) or to a set, by one relationship type; changes give a new graph."""
+
+    def __init__(self, kind: str, single: bool = False) -> None:
+        self.kind, self.single = kind, single
+
+    def get(self, graph: PropertyGraph) -> DataFrame:
+        """(id, other)."""
+        return graph.edges.where(F.col("type") == self.kind).select(F.col("src").alias("id"), F.col("dst").alias("other"))
+
+    def set(self, graph: PropertyGraph, links: DataFrame) -> PropertyGraph:
+        """With links (id, other); a single link replaces the one before. Ids of new relationships come from both ends and the type."""
+        new = links.select(F.xxhash64("id", "other", F.lit(self.kind)).alias("eid"), F.col("id").alias("src"), F.col("other").alias("dst"), F.lit(self.kind).alias("type")).distinct()
+        if self.single:
+            new = new.groupBy("src", "type").agg(F.max(F.struct("dst", "eid")).alias("x")).select("x.eid", "src", "x.dst", "type")
+        return self.remove(graph, links if self.single else links.limit(0)).create_relationships(new.join(self.get(graph).toDF("src", "dst"), ["src", "dst"], "left_anti").select("eid", "src", "dst", "type") if not self.single else new)
+
+    def remove(self, graph: PropertyGraph, nodes: DataFrame) -> PropertyGraph:
+        """Without the links of these nodes (column id)."""
+        gone = graph.edges.where(F.col("type") == self.kind).join(nodes.select(F.col("id").alias("src")), "src", "left_semi").select("eid")
+        return graph.delete_relationships(gone)
+
+
+class Migration:
+    """Numbered changes of a graph, applied in order from its version on; the version is kept by the caller."""
+
+    def __init__(self, *steps: Callable[[PropertyGraph], PropertyGraph]) -> None:
+        self.steps = steps
+
+    def apply(self, graph: PropertyGraph, version: int = 0) -> tuple[PropertyGraph, int]:
+        if version > len(self.steps):
+            raise ValueError(f"version {version} is newer than the last step, {len(self.steps)}")
+        for step in self.steps[version:]:
+            graph = step(graph)
+        return graph, len(self.steps)
+
+
+def handled(old: PropertyGraph, new: PropertyGraph, *handlers: Callable[[DataFrame], None]) -> PropertyGraph:
+    """Calls every handler with the changes (element, id, kind, property, old, new) of a state; a handler that raises refuses it."""
+    a = changes(old.nodes, new.nodes, "id").withColumn("element", F.lit("node"))
+    b = changes(old.edges, new.edges, "eid").withColumnRenamed("eid", "id").withColumn("element", F.lit("relationship"))
+    both = a.unionByName(b)
+    for h in handlers:
+        h(both)
+    return new
+
+
+def map_skipping(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """With a column; rows whose value cannot be computed (null, as by the try_ functions) are left out."""
+    return df.withColumn(name, value).where(F.col(name).isNotNull())

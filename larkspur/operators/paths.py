@@ -5,15 +5,15 @@ Paths are rows (start, end, length, nodes, rels), cheapest ones with weight.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.predicates import chord_km
 from ..graph import Expander, PropertyGraph
-from ..plans.steps import settled
-from .traversal import NODE_PATH, RELATIONSHIP_PATH, Traversal
+from ..plans.steps import keyed, settled, superseded
+from .traversal import NODE_PATH, RELATIONSHIP_PATH, Traversal, reach
 
 PATH = ["start", "end", "length", "nodes", "rels"]
 
@@ -32,43 +32,41 @@ def single(paths: DataFrame) -> DataFrame:
     return paths.orderBy(*by, "length", "rels").limit(1)
 
 
+def _meeting(graph: PropertyGraph, start: int, end: int, expander: Expander, kind: str, lengths: range) -> DataFrame:
+    """Paths of these lengths from two half searches: the longer half comes from the start."""
+    top = max(lengths, default=-1)
+    if top < 0:
+        return _as_paths(Traversal(expander, max_depth=0).traverse(graph, _start(graph, start).limit(0)))
+    ahead = Traversal(expander, kind, max_depth=top - top // 2).traverse(graph, _start(graph, start))
+    back = Traversal(expander.reversed(), kind, max_depth=top // 2).traverse(graph, _start(graph, end))
+    a = ahead.select("root", "node", F.col("depth").alias("d1"), F.col("nodes").alias("n1"), F.col("rels").alias("r1"))
+    b = back.select(F.col("root").alias("end"), "node", F.col("depth").alias("d2"), F.reverse("nodes").alias("n2"), F.reverse("rels").alias("r2"))
+    # Each path is met once, in its middle.
+    met = a.join(b, "node").where((F.col("d1") - F.col("d2")).isin(0, 1) & (F.col("d1") + F.col("d2")).isin(*lengths))
+    met = met.where(F.size(F.array_intersect("n1", "n2")) == 1 if kind == NODE_PATH else ~F.arrays_overlap("r1", "r2"))
+    nodes = F.concat("n1", F.slice("n2", 2, F.greatest(F.size("n2") - 1, F.lit(0))))
+    return met.select(F.col("root").alias("start"), "end", (F.col("d1") + F.col("d2")).alias("length"), nodes.alias("nodes"), F.concat("r1", "r2").alias("rels"))
+
+
 def all_paths(graph: PropertyGraph, start: int, end: int, expander: Expander, max_depth: int) -> DataFrame:
     """Every trail: no relationship twice."""
-    t = Traversal(expander, RELATIONSHIP_PATH, max_depth=max_depth).filter(F.col("node") == end)
-    return _as_paths(t.traverse(graph, _start(graph, start)))
+    return _meeting(graph, start, end, expander, RELATIONSHIP_PATH, range(max_depth + 1))
 
 
 def simple_paths(graph: PropertyGraph, start: int, end: int, expander: Expander, max_depth: int) -> DataFrame:
     """Every path without a node twice."""
-    t = Traversal(expander, NODE_PATH, max_depth=max_depth).filter(F.col("node") == end)
-    return _as_paths(t.traverse(graph, _start(graph, start)))
+    return _meeting(graph, start, end, expander, NODE_PATH, range(max_depth + 1))
 
 
 def exact_depth(graph: PropertyGraph, start: int, end: int, expander: Expander, depth: int) -> DataFrame:
-    """All trails of just this length: two half searches that meet in the middle and share no relationship."""
-    far = depth // 2
-    ahead = Traversal(expander, RELATIONSHIP_PATH, max_depth=depth - far).traverse(graph, _start(graph, start)).where(F.col("depth") == depth - far)
-    back = Traversal(expander.reversed(), RELATIONSHIP_PATH, max_depth=far).traverse(graph, _start(graph, end)).where(F.col("depth") == far)
-    a = ahead.select("root", "node", F.col("nodes").alias("n1"), F.col("rels").alias("r1"))
-    b = back.select(F.col("root").alias("end"), "node", F.col("nodes").alias("n2"), F.col("rels").alias("r2"))
-    met = a.join(b, "node").where(~F.arrays_overlap("r1", "r2"))
-    nodes = F.concat("n1", F.reverse(F.slice("n2", 1, F.greatest(F.size("n2") - 1, F.lit(0)))))
-    return met.select(F.col("root").alias("start"), "end", F.lit(depth).alias("length"), nodes.alias("nodes"), F.concat("r1", F.reverse("r2")).alias("rels"))
-
-
-def hop_distances(graph: PropertyGraph, sources: DataFrame, expander: Expander, max_depth: int | None = None) -> DataFrame:
-    """(source, node, dist) of every node that each source (column id) reaches, level by level."""
-    adj = graph.adjacency(expander).select("frm", "to").distinct()
-    levels = [settled(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("dist")).distinct(), "level")]
-    while max_depth is None or len(levels) <= max_depth:
-        new = levels[-1].join(adj, F.col("node") == F.col("frm")).select("source", F.col("to").alias("node")).distinct()
-        # A node next to the last level may also lie on it or, where relationships lead back, on any level before.
-        seen = reduce(DataFrame.union, [x.select("source", "node") for x in levels])
-        new = settled(new.join(seen, ["source", "node"], "left_anti").select("source", "node", F.lit(len(levels)).alias("dist")), "level")
-        if new.isEmpty():
-            break
-        levels.append(new)
-    return reduce(DataFrame.union, levels)
+    """All trails of just this length."""
+    return _meeting(graph, start, end, expander, RELATIONSHIP_PATH, range(depth, depth + 1))
+
+
+def hop_distances(graph: PropertyGraph, sources: DataFrame, expander: Expander, max_depth: int | None = None, target: DataFrame | None = None) -> DataFrame:
+    """(source, node, dist) of every node that each source (column id) reaches, level by level; with `target` (column node) not beyond its level."""
+    got = reach(graph.adjacency(expander), sources, max_depth, target)
+    return got.select(F.col("root").alias("source"), "node", F.col("depth").alias("dist"))
 
 
 def _back(graph: PropertyGraph, dist: DataFrame, ends: DataFrame, expander: Expander, cost: Column | None) -> DataFrame:
@@ -90,48 +88,81 @@ def _back(graph: PropertyGraph, dist: DataFrame, ends: DataFrame, expander: Expa
 
 
 def shortest_paths(graph: PropertyGraph, start: int, end: int, expander: Expander, max_depth: int | None = None) -> DataFrame:
-    """All paths with the fewest relationships; parallel ones count each."""
-    dist = settled(hop_distances(graph, _start(graph, start), expander, max_depth), "dist")
-    return _back(graph, dist, _start(graph, end).toDF("node"), expander, None)
+    """All paths with the fewest relationships; parallel ones count each. The search ends on the level of the end."""
+    goal = _start(graph, end).toDF("node")
+    return _back(graph, hop_distances(graph, _start(graph, start), expander, max_depth, goal), goal, expander, None)
 
 
-def distances(graph: PropertyGraph, sources: DataFrame, cost: Column, expander: Expander, max_cost: float | None = None) -> DataFrame:
-    """(source, node, dist): least sums of `cost`, a condition-free column of the relationships that must not be negative.
+def distances(graph: PropertyGraph, sources: DataFrame, cost: Column, expander: Expander, max_cost: float | None = None, target: int | None = None, estimate: Column | None = None, max_depth: int | None = None) -> DataFrame:
+    """(source, node, dist): least sums of `cost`, a column of the relationships that must not be negative.
 
-    Each round relaxes the relationships of the nodes that got cheaper in the last one.
+    Each round relaxes the relationships of the nodes that got cheaper in the
+    last one. With a `target` only nodes are followed whose cost, with the
+    `estimate` of what is left (a column of nodes, never too high), is less than
+    the least cost of the target that is known by then; distances of nodes that
+    cannot lie on a cheapest path to it may then be missing or too high.
+    `max_depth` bounds the relationships of a path.
     """
     g = PropertyGraph(graph.nodes, graph.edges.withColumn("w", cost.cast("double")))
     if not g.edges.where("w < 0 or w is null").isEmpty():
         raise ValueError("costs have to be given and not negative")
-    adj = g.adjacency(expander, keep=["w"]).groupBy("frm", "to").agg(F.min("w").alias("w"))
+    adj = keyed(g.adjacency(expander, keep=["w"]).groupBy("frm", "to").agg(F.min("w").alias("w")), "frm", "adjacency")
+    left = graph.nodes.select(F.col("id").alias("node"), F.greatest(F.lit(0.0), estimate.cast("double")).alias("left")) if estimate is not None else None
     dist = settled(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("dist")).distinct(), "dist")
-    tip = dist
-    while True:
+    tip, rounds = dist, 0
+    while max_depth is None or rounds < max_depth:
+        rounds += 1
         new = tip.join(adj, F.col("node") == F.col("frm")).groupBy("source", F.col("to").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
         if max_cost is not None:
             new = new.where(F.col("new") <= max_cost)
         both = settled(dist.join(new, ["source", "node"], "full_outer").select("source", "node", F.least("dist", "new").alias("dist"), (F.col("dist").isNull() | (F.col("new") < F.col("dist"))).alias("better")), "dist")
-        tip = both.where("better").select("source", "node", "dist")
+        superseded(dist)
         dist = both.select("source", "node", "dist")
+        dist._step = both._step
+        tip = both.where("better").select("source", "node", "dist")
+        if target is not None:
+            best = dist.where(F.col("node") == target).select("source", F.col("dist").alias("best"))
+            tip = tip.join(best, "source", "left")
+            tip = tip.join(left, "node", "left") if left is not None else tip.withColumn("left", F.lit(0.0))
+            tip = tip.where(F.col("best").isNull() | (F.col("dist") + F.coalesce("left", F.lit(0.0)) <= F.col("best"))).where(F.col("node") != target).select("source", "node", "dist")
         if tip.isEmpty():
-            return dist
+            break
+    superseded(adj)
+    return dist
 
 
-def cheapest_paths(graph: PropertyGraph, start: int, end: int, cost: Column, expander: Expander, max_cost: float | None = None) -> DataFrame:
-    """All paths with the least cost, with their weight; no node twice where costs are zero."""
-    dist = settled(distances(graph, _start(graph, start), cost, expander, max_cost), "dist")
+def cheapest_paths(graph: PropertyGraph, start: int, end: int, cost: Column, expander: Expander, max_cost: float | None = None, estimate: Column | None = None) -> DataFrame:
+    """All paths with the least cost, with their weight; no node twice where costs are zero. The search follows nothing dearer than the end."""
+    dist = distances(graph, _start(graph, start), cost, expander, max_cost, end, estimate)
     g = PropertyGraph(graph.nodes, graph.edges.withColumn("w", cost.cast("double")))
     paths = _back(g, dist, _start(graph, end).toDF("node"), expander, cost)
     return paths.join(dist.select(F.col("node").alias("end"), F.col("dist").alias("weight")), "end").select(*PATH, "weight")
 
 
 def a_star(graph: PropertyGraph, start: int, end: int, cost: Column, expander: Expander, estimate: Column | None = None, bound: float | None = None) -> DataFrame:
-    """One cheapest path. `estimate` on node columns never exceeds the cost that is left; with a known `bound`, nodes beyond it are never followed."""
-    g = graph
-    if estimate is not None and bound is not None:
-        g = PropertyGraph(graph.nodes.where((estimate <= bound) | F.col("id").isin(start, end)), graph.edges)
-        expander = expander.where_node(F.lit(True))
-    return single(cheapest_paths(g, start, end, cost, expander, bound))
+    """One cheapest path. `estimate`, a column of nodes, never exceeds the cost that is left to the end: nodes are followed while cost and estimate together can beat the best way known."""
+    return single(cheapest_paths(graph, start, end, cost, expander, bound, estimate))
+
+
+def geo_estimate(graph: PropertyGraph, end: int, lat: str = "lat", lon: str = "lon") -> Column:
+    """The straight distance in km of a node to the end, as an estimate for costs in km."""
+    goal = graph.node(end).select(lat, lon).first()
+    return chord_km(F.col(lat), F.col(lon), F.lit(goal[0]), F.lit(goal[1]))
+
+
+def cheapest_between(graph: PropertyGraph, start: int, end: int, cost: Column, expander: Expander, max_cost: float | None = None, max_depth: int | None = None) -> DataFrame:
+    """(node, weight): the least cost between two nodes, and the nodes where cheapest paths from both sides meet.
+
+    Two searches, each bounded by the other's best known sum; nothing is
+    returned if the ends don't meet within the bounds.
+    """
+    one = distances(graph, _start(graph, start), cost, expander, max_cost, end, max_depth=max_depth)
+    best = one.where(F.col("node") == end).agg(F.min("dist")).first()[0]
+    if best is None:
+        return one.select("node", F.col("dist").alias("weight")).limit(0)
+    two = distances(graph, _start(graph, end), cost, expander.reversed(), best, start, max_depth=max_depth)
+    both = one.select("node", F.col("dist").alias("a")).join(two.select("node", F.col("dist").alias("b")), "node")
+    return both.where(F.abs(F.col("a") + F.col("b") - best) <= 1e-9 * max(1.0, best)).select("node", (F.col("a") + F.col("b")).alias("weight"))
 
 
 def predecessors(graph: PropertyGraph, dist: DataFrame, expander: Expander, cost: Column | None = None) -> DataFrame:
@@ -158,13 +189,46 @@ def path_counts(graph: PropertyGraph, dist: DataFrame, expander: Expander) -> Da
 
 
 def all_pairs(graph: PropertyGraph, cost: Column, expander: Expander) -> DataFrame:
-    """(i, j, dist) between all nodes that reach each other, by min-plus doubling; a node is at distance 0 from itself."""
+    """(i, j, dist, pred) between all nodes that reach each other, by min-plus doubling until nothing gets less.
+
+    A node is at distance 0 from itself. `pred` is the node before j on a
+    cheapest path, the smallest of them; null for i itself. The result has a row
+    for each pair, so that this is for graphs of some thousand nodes: larger
+    ones ask for distances() of the sources that matter.
+    """
     g = PropertyGraph(graph.nodes, graph.edges.withColumn("w", cost.cast("double")))
-    own = graph.nodes.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("dist"))
-    d = own.union(g.adjacency(expander, keep=["w"]).select(F.col("frm").alias("i"), F.col("to").alias("j"), F.col("w").alias("dist"))).groupBy("i", "j").agg(F.min("dist").alias("dist"))
-    n = graph.nodes.count()
-    for _ in range(max(1, math.ceil(math.log2(max(n, 2))))):
-        d = settled(d, "pairs")
-        left, right = d.select("i", F.col("j").alias("k"), F.col("dist").alias("a")), d.select(F.col("i").alias("k"), "j", F.col("dist").alias("b"))
-        d = left.join(right, "k").groupBy("i", "j").agg(F.min(F.col("a") + F.col("b")).alias("dist"))
-    return d
+    if not g.edges.where("w < 0 or w is null").isEmpty():
+        raise ValueError("costs have to be given and not negative")
+    none = F.lit(None).cast("bigint")
+    own = graph.nodes.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("dist"), none.alias("pred"))
+    one = g.adjacency(expander, keep=["w"]).where("frm <> to").select(F.col("frm").alias("i"), F.col("to").alias("j"), F.col("w").alias("dist"), F.col("frm").alias("pred"))
+    least = F.min(F.struct("dist", "pred"))
+    d = settled(own.union(one.groupBy("i", "j").agg(F.min("dist").alias("dist"), F.min_by("pred", F.struct("dist", "pred")).alias("pred"))), "pairs")
+    state = None
+    while True:
+        left = d.select("i", F.col("j").alias("k"), F.col("dist").alias("a"), F.col("pred").alias("p"))
+        right = d.select(F.col("i").alias("k"), "j", F.col("dist").alias("b"), F.col("pred").alias("q"))
+        # Where the second half is empty, the first one's predecessor stands.
+        met = left.join(right, "k").select("i", "j", (F.col("a") + F.col("b")).alias("dist"), F.coalesce("q", "p").alias("pred"))
+        new = settled(met.where("i <> j").groupBy("i", "j").agg(least.alias("x")).select("i", "j", "x.dist", "x.pred").union(own), "pairs")
+        now = tuple(new.agg(F.count("*"), F.sum("dist"), F.sum("pred")).first())
+        superseded(d)
+        d = new
+        if now == state:
+            return d
+        state = now
+
+
+def path_of(pairs: DataFrame, i: int, j: int) -> list[int]:
+    """The nodes of a cheapest path between two nodes from a table of all pairs; empty if there is none. As many look-ups as the path is long."""
+    out, at = [], j
+    while True:
+        row = pairs.where((F.col("i") == i) & (F.col("j") == at)).first()
+        if row is None:
+            return []
+        if at in out:
+            raise ValueError("costs of zero lead around")
+        out.append(at)
+        if at == i:
+            return out[::-1]
+        at = row["pred"]

@@ -73,8 +73,10 @@ def clear(quads: DataFrame, *names: str) -> DataFrame:
 
 
 def rename_context(quads: DataFrame, old: str, new: str) -> DataFrame:
-    """Statements that are in both contexts already become one."""
-    return quads.withColumn("ctx", F.when(F.col("ctx") == old, F.lit(new)).otherwise(F.col("ctx"))).dropDuplicates(KEYS)
+    """Statements that are in both contexts already become one; those that were there stay as they are."""
+    moved = quads.where(F.col("ctx") == old).withColumn("ctx", F.lit(new))
+    rest = quads.where(~F.coalesce(F.col("ctx") == old, F.lit(False)))
+    return rest.unionByName(moved.join(rest.select(*KEYS), KEYS, "left_anti").select(*quads.columns))
 
 
 def with_metadata(quads: DataFrame, key: str, value: Column, where: Column) -> DataFrame:
@@ -92,13 +94,14 @@ def literals(quads: DataFrame) -> DataFrame:
 
 
 def search(quads: DataFrame, text: str, snippets: int = 0, around: int = 20) -> DataFrame:
-    """Subjects and predicates whose literal holds any of the words, best score first, snippets for the first of them."""
+    """(s, p, o, score) of literals that hold any of the words; with `snippets` the first so many by score have a snippet, the others null."""
     got = index.relevance(literals(quads), "o", text).select("node.*", "score")
     if not snippets:
         return got
     first = got.orderBy(F.col("score").desc(), "s", "p", "o").limit(snippets)
     word = "|".join(re.escape(w) for w in text.split())
-    return first.withColumn("snippet", F.regexp_extract("o", f"(?i)(.{{0,{around}}}(?:{word}).{{0,{around}}})", 1))
+    cut = first.select("s", "p", "o", F.regexp_extract("o", f"(?i)(.{{0,{around}}}(?:{word}).{{0,{around}}})", 1).alias("snippet"))
+    return got.join(cut, ["s", "p", "o"], "left")
 
 
 def verify(quads: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -107,6 +110,75 @@ def verify(quads: DataFrame, indexed: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("missing")).union(b.exceptAll(a).withColumn("side", F.lit("stale")))
 
 
+def reindex(quads: DataFrame, indexed: DataFrame) -> DataFrame:
+    """An index without differences: stale entries go, missing ones come."""
+    diff = verify(quads, indexed)
+    stale = diff.where("side = 'stale'").drop("side")
+    return indexed.select("key", "value", "node").exceptAll(stale).unionByName(diff.where("side = 'missing'").drop("side"))
+
+
+def namespaces(quads: DataFrame) -> DataFrame:
+    """(prefix): what precedes the last #, / or : of predicates and of types."""
+    terms = quads.select(F.col("p").alias("t")).union(quads.where((F.col("p") == TYPE) & (F.col("o_kind") == "uri")).select("o"))
+    return terms.select(F.regexp_extract("t", r"^(.*[#/:])[^#/:]*$", 1).alias("prefix")).where("prefix <> ''").distinct()
+
+
+def renamed_namespace(quads: DataFrame, old: str, new: str) -> DataFrame:
+    """Terms that begin with one prefix begin with another; statements that become equal are one."""
+    swap = lambda c: F.when(F.col(c).startswith(old), F.concat(F.lit(new), F.substring(F.col(c), len(old) + 1, 1 << 30))).otherwise(F.col(c))
+    o = F.when(F.col("o_kind") == "uri", swap("o")).otherwise(F.col("o"))
+    return quads.withColumn("s", swap("s")).withColumn("p", swap("p")).withColumn("o", o).dropDuplicates(KEYS)
+
+
+def typed_by_range(quads: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Objects become literals or URIs by the range of their property: (property, datatype), datatype null for classes.
+
+    Properties without a range keep what they have.
+    """
+    r = ranges.select(F.col("property").alias("p"), F.col("datatype").alias("__d"), F.lit(True).alias("__known"))
+    got = quads.join(r, "p", "left")
+    kind = F.when(F.col("__known"), F.when(F.col("__d").isNull(), "uri").otherwise("literal")).otherwise(F.col("o_kind"))
+    kind_type = F.when(F.col("__known"), F.col("__d")).otherwise(F.col("datatype"))
+    return got.withColumn("o_kind", kind).withColumn("datatype", kind_type).select(*quads.columns)
+
+
+def as_verbose_graph(quads: DataFrame):
+    """Verbose layout: a node for every statement, with SUBJECT, PREDICATE, OBJECT and CONTEXT relationships to nodes of its terms.
+
+    Literals are nodes as well, one for each value and datatype.
+    """
+    from ..graph import PropertyGraph
+
+    literal = F.concat(F.lit('"'), "o", F.lit('"^^'), F.coalesce("datatype", F.lit("")))
+    rows = quads.select("s", "p", F.when(F.col("o_kind") == "literal", literal).otherwise(F.col("o")).alias("o"), "ctx", F.concat_ws("\x1f", "s", "p", literal, "o_kind", "ctx").alias("name"))
+    rows = rows.dropDuplicates(["name"])
+    term = lambda c: F.xxhash64(F.lit("term"), c)
+    statement = F.xxhash64(F.lit("statement"), F.col("name"))
+    nodes = rows.select(statement.alias("id"), F.lit("statement").alias("label"), F.lit(None).cast("string").alias("name"))
+    edges = None
+    for c, kind in (("s", "SUBJECT"), ("p", "PREDICATE"), ("o", "OBJECT"), ("ctx", "CONTEXT")):
+        nodes = nodes.union(rows.select(term(F.col(c)), F.lit("term"), c))
+        e = rows.select(F.xxhash64(F.lit(kind), "name").alias("eid"), statement.alias("src"), term(F.col(c)).alias("dst"), F.lit(kind).alias("type"))
+        edges = e if edges is None else edges.union(e)
+    return PropertyGraph(nodes.distinct(), edges)
+
+
+class TripleSource:
+    """A statement table behind the three calls that a query engine asks for."""
+
+    def __init__(self, quads: DataFrame) -> None:
+        self.quads = quads
+
+    def get_triples(self, s=ANY, p=ANY, o=ANY, *contexts) -> DataFrame:
+        return find(self.quads, s, p, o, *contexts).select("s", "p", "o")
+
+    def count(self, s=ANY, p=ANY, o=ANY, *contexts) -> int:
+        return find(self.quads, s, p, o, *contexts).count()
+
+    def evaluate(self, query: str, prefixes: dict[str, str] | None = None) -> DataFrame:
+        return evaluate(self.quads, query, prefixes)
+
+
 def as_graph(quads: DataFrame):
     """Dense layout: statements about objects become relationships, literals become properties (map `props`)."""
     from ..graph import PropertyGraph
@@ -129,7 +201,8 @@ class Query:
     template: list[tuple[str, str, str]] = field(default_factory=list)
     where: list[tuple[str, str, str]] = field(default_factory=list)
     optional: list[list[tuple[str, str, str]]] = field(default_factory=list)
-    filters: list[Column] = field(default_factory=list)
+    #: Conditions by group: 0 is the main pattern, k the k-th optional one.
+    filters: dict[int, list[tuple[set[str], Column]]] = field(default_factory=dict)
 
 
 def parse(text: str, prefixes: dict[str, str] | None = None) -> Query:
@@ -160,7 +233,7 @@ def parse(text: str, prefixes: dict[str, str] | None = None) -> Query:
         head, mark, rest = t.partition(":")
         return names[head] + rest if mark and head in names else t
 
-    def triples() -> list[tuple[str, str, str]]:
+    def triples(group: int = 0) -> list[tuple[str, str, str]]:
         out: list[tuple[str, str, str]] = []
         take("{")
         while peek() != "}":
@@ -168,10 +241,15 @@ def parse(text: str, prefixes: dict[str, str] | None = None) -> Query:
             if up in ("OPTIONAL", "FILTER", "GRAPH", "UNION") or peek() == "{":
                 if up == "OPTIONAL":
                     take()
-                    q.optional.append(triples())
+                    if group:
+                        raise NotImplementedError("OPTIONAL within OPTIONAL")
+                    q.optional.append([])
+                    q.optional[-1] = triples(len(q.optional))
                 elif up == "FILTER":
                     take()
-                    q.filters.append(condition())
+                    begin = at
+                    c = condition()
+                    q.filters.setdefault(group, []).append(({"?" + t[1:] for t in toks[begin:at] if t[0] in "?$"}, c))
                 else:
                     raise NotImplementedError(up or "nested groups")
                 continue
@@ -278,10 +356,13 @@ def _bind(quads: DataFrame, triple: tuple[str, str, str]) -> DataFrame:
 
 
 def _group(quads: DataFrame, triples: list[tuple[str, str, str]], bound: set[str]) -> DataFrame:
+    """Joins of the triples. Begins with the most bound one; of several class patterns with that of the smallest class."""
     left, df = list(triples), None
+    classes = [t[2] for t in left if t[1] == TYPE and t[2][0] != "?"]
+    size = {r["o"]: r["count"] for r in quads.where((F.col("p") == TYPE) & F.col("o").isin(*classes)).groupBy("o").count().collect()} if len(classes) > 1 else {}  # one row a class of the query
     while left:
         have = bound if df is None else set(df.columns)
-        t = max(left, key=lambda t: (any(x in have for x in t), sum(x[0] != "?" for x in t)))
+        t = max(left, key=lambda t: (any(x in have for x in t), sum(x[0] != "?" for x in t), -size.get(t[2], 0)))
         left.remove(t)
         one = _bind(quads, t)
         if df is None:
@@ -297,11 +378,21 @@ def _group(quads: DataFrame, triples: list[tuple[str, str, str]], bound: set[str
 def evaluate(quads: DataFrame, query: str | Query, prefixes: dict[str, str] | None = None) -> DataFrame:
     """Bindings of a SELECT as columns named by the variables, missing ones as empty strings; triples (s, p, o) of a CONSTRUCT."""
     q = parse(query, prefixes) if isinstance(query, str) else query
-    df = _group(quads, q.where, set())
-    for triples in q.optional:
+    df, late = _group(quads, q.where, set()), []
+    for names, c in q.filters.get(0, []):  # as soon as all variables are there
+        if names <= set(df.columns):
+            df = df.where(c)
+        else:
+            late.append(c)
+    for k, triples in enumerate(q.optional, 1):
         part = _group(quads, triples, set(df.columns))
-        df = df.join(part, [c for c in part.columns if c in df.columns], "left")
-    for c in q.filters:
+        on = [c for c in part.columns if c in df.columns]
+        for names, c in q.filters.get(k, []):
+            if not names <= set(part.columns):  # conditions on variables of the main pattern
+                part = part.join(df.select(*on, *[x for x in names - set(part.columns) if x in df.columns]).distinct(), on)
+            part = part.where(c)
+        df = df.join(part.select(*on, *[c for c in part.columns if c not in df.columns]), on, "left")
+    for c in late:
         df = df.where(c)
     if q.kind == "SELECT":
         names = df.columns if q.variables in ([], ["?*"], ["*"]) else q.variables

@@ -61,3 +61,14 @@ def superseded(*steps: DataFrame | None) -> None:
         path = getattr(df, "_step", None)
         if path:
             remove(df.sparkSession, path)
+
+
+def keyed(df: DataFrame, key: str, name: str = "keyed") -> DataFrame:
+    """Writes a frame bucketed by a column into the shared folder: joins on that column only shuffle their other side."""
+    spark = df.sparkSession
+    path, n = new_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"larkspur_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._step = path
+    return out

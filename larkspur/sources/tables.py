@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,18 +28,35 @@ def _id(kind: int, col: str):
 def geography(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Regions, nations, customers and suppliers: IN_REGION and LOCATED_IN."""
     t = lambda n: table(spark, sf_dir, n)
+    no = lambda kind: F.lit(None).cast(kind)
+    # Table, kind, key, label, name, balance, segment.
     nodes = [
-        t("region").select(_id(REGION, "r_regionkey").alias("id"), F.lit("region").alias("label"), F.col("r_name").alias("name"), F.lit(None).cast("double").alias("acctbal"), F.lit(None).cast("string").alias("segment")),
-        t("nation").select(_id(NATION, "n_nationkey"), F.lit("nation"), "n_name", F.lit(None).cast("double"), F.lit(None).cast("string")),
-        t("customer").select(_id(CUSTOMER, "c_custkey"), F.lit("customer"), "c_name", "c_acctbal", "c_mktsegment"),
-        t("supplier").select(_id(SUPPLIER, "s_suppkey"), F.lit("supplier"), "s_name", "s_acctbal", F.lit(None).cast("string")),
-    ]
+        (t("region"), REGION, "r_regionkey", "region", "r_name", no("double"), no("string")), (t("nation"), NATION, "n_nationkey", "nation", "n_name", no("double"), no("string")),
+        (t("customer"), CUSTOMER, "c_custkey", "customer", "c_name", F.col("c_acctbal"), F.col("c_mktsegment")), (t("supplier"), SUPPLIER, "s_suppkey", "supplier", "s_name", F.col("s_acctbal"), no("string")),
+    ]
+    # Table, type, kind and key of the source, which are those of the relationship, kind and key of the target.
     edges = [
-        t("nation").select(_id(NATION, "n_nationkey").alias("eid"), _id(NATION, "n_nationkey").alias("src"), _id(REGION, "n_regionkey").alias("dst"), F.lit("IN_REGION").alias("type")),
-        t("customer").select(_id(CUSTOMER, "c_custkey"), _id(CUSTOMER, "c_custkey"), _id(NATION, "c_nationkey"), F.lit("LOCATED_IN")),
-        t("supplier").select(_id(SUPPLIER, "s_suppkey"), _id(SUPPLIER, "s_suppkey"), _id(NATION, "s_nationkey"), F.lit("LOCATED_IN")),
-    ]
-    return PropertyGraph(reduce(DataFrame.union, nodes), reduce(DataFrame.union, edges), REGION * STEP)
+        (t("nation"), "IN_REGION", NATION, "n_nationkey", REGION, "n_regionkey"), (t("customer"), "LOCATED_IN", CUSTOMER, "c_custkey", NATION, "c_nationkey"),
+        (t("supplier"), "LOCATED_IN", SUPPLIER, "s_suppkey", NATION, "s_nationkey"),
+    ]
+
+    def node_rows(df, kind, key, label, name, bal, segment) -> DataFrame:
+        return df.select(_id(kind, key).alias("id"), F.lit(label).alias("label"), F.col(name).alias("name"), bal.alias("acctbal"), segment.alias("segment"))
+
+    def edge_rows(df, kind, src_kind, src, dst_kind, dst) -> DataFrame:
+        return df.select(_id(src_kind, src).alias("eid"), _id(src_kind, src).alias("src"), _id(dst_kind, dst).alias("dst"), F.lit(kind).alias("type"))
+
+    def parts(column: str, value: int) -> DataFrame:
+        """Only the tables of the id's kind, filtered by its key."""
+        kind, key = divmod(value, STEP)
+        if column == "id":
+            got = [node_rows(n[0].where(F.col(n[2]) == key), *n[1:]) for n in nodes if n[1] == kind]
+            return reduce(DataFrame.union, got) if got else node_rows(*nodes[0]).limit(0)
+        at = 4 if column == "dst" else 2
+        got = [edge_rows(e[0].where(F.col(e[at + 1]) == key), *e[1:]) for e in edges if e[at] == kind]
+        return reduce(DataFrame.union, got) if got else edge_rows(*edges[0]).limit(0)
+
+    return PropertyGraph(reduce(DataFrame.union, [node_rows(*n) for n in nodes]), reduce(DataFrame.union, [edge_rows(*e) for e in edges]), REGION * STEP, parts)
 
 
 def commerce(spark: SparkSession, sf_dir: str) -> PropertyGraph:
@@ -53,7 +71,7 @@ def commerce(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     edges = edges.union(t("orders").select(_id(ORDER, "o_orderkey"), _id(CUSTOMER, "o_custkey"), _id(ORDER, "o_orderkey"), F.lit("PLACED"), none, F.col("o_totalprice")))
     edges = edges.union(line.select(F.xxhash64(*line.columns), _id(ORDER, "l_orderkey"), _id(PART, "l_partkey"), F.lit("CONTAINS"), "l_quantity", "l_extendedprice"))
     pairs = line.select("l_suppkey", "l_partkey").distinct()
-    edges = edges.union(pairs.select(F.lit(100 * STEP) + F.col("l_suppkey") * 100_000_000 + F.col("l_partkey"), _id(SUPPLIER, "l_suppkey"), _id(PART, "l_partkey"), F.lit("SUPPLIES"), none, none))
+    edges = edges.union(pairs.select(-(F.col("l_suppkey") * (1 << 33) + F.col("l_partkey")) - 1, _id(SUPPLIER, "l_suppkey"), _id(PART, "l_partkey"), F.lit("SUPPLIES"), none, none))
     return PropertyGraph(nodes, edges, g.ref_id)
 
 
@@ -86,20 +104,20 @@ def sessions(spark: SparkSession, sf_dir: str) -> PropertyGraph:
 
 def dialogue(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Turns, each linked to the next one of its conversation by REPLY."""
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lit("turn").alias("label"), "conv_id", "turn", "role")
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * (1 << 20) + F.col("turn")).alias("id"), F.lit("turn").alias("label"), "conv_id", "turn", "role")
     edges = c.select(F.col("id").alias("eid"), F.col("id").alias("src"), F.lead("id").over(W.partitionBy("conv_id").orderBy("turn")).alias("dst"), F.lit("REPLY").alias("type"))
     return PropertyGraph(c, edges.where("dst is not null"))
 
 
 def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements about suppliers, in a context for each nation."""
-    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("s"), "s_name", F.concat(F.lit("nation:"), "s_nationkey").alias("ctx"), F.col("s_acctbal").cast("string").alias("bal"))
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("s"), "s_name", F.concat(F.lit("nation:"), "s_nationkey").alias("ctx"), F.col("s_acctbal").cast("string").alias("bal"), F.col("s_acctbal").alias("amount"))
     none = F.lit(None).cast("string")
     parts = [
         s.select("s", F.lit("rdf:type").alias("p"), F.lit("Supplier").alias("o"), F.lit("uri").alias("o_kind"), none.alias("datatype"), none.alias("lang"), "ctx"),
         s.select("s", F.lit("located_in"), F.col("ctx"), F.lit("uri"), none, none, "ctx"),
         s.select("s", F.lit("name"), "s_name", F.lit("literal"), F.lit("string"), none, "ctx"),
-        s.where("cast(bal as double) >= 5000").select("s", F.lit("balance"), "bal", F.lit("literal"), F.lit("double"), none, "ctx"),
+        s.where("amount >= 5000").select("s", F.lit("balance"), "bal", F.lit("literal"), F.lit("double"), none, "ctx"),
     ]
     return reduce(DataFrame.union, parts)
 
@@ -154,19 +172,34 @@ def read_rdf_xml(spark: SparkSession, path: str) -> DataFrame:
         import pandas as pd
 
         rdf = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
+
+        def walk(x, out: list, blank: list[int]) -> str:
+            """Statements of a node element; its name, or a blank one of the file."""
+            s = x.get(rdf + "about") or (("#" + x.get(rdf + "ID")) if x.get(rdf + "ID") else None)
+            if s is None:
+                blank[0] += 1
+                s = f"_:{blank[1]}.{blank[0]}"
+            s = short(s)
+            if short(x.tag) != "rdf:Description":
+                out.append((s, "rdf:type", short(x.tag), "uri", None))
+            for y in x:
+                ref, inner = y.get(rdf + "resource"), list(y)
+                if ref is not None or inner:
+                    out.append((s, short(y.tag), short(ref) if ref is not None else walk(inner[0], out, blank), "uri", None))
+                else:
+                    kind = y.get(rdf + "datatype")
+                    out.append((s, short(y.tag), (y.text or "").strip(), "literal", None if kind is None else kind.rpartition("#")[2]))
+            return s
+
         for b in batches:
-            out = []
+            out: list[tuple] = []
             for content in b["content"]:
+                blank = [0, zlib.crc32(content)]
                 for x in ET.fromstring(content):
-                    s = x.get(rdf + "about") or "#" + (x.get(rdf + "ID") or "")
-                    if short(x.tag) != "rdf:Description":
-                        out.append((s, "rdf:type", short(x.tag), "uri"))
-                    for y in x:
-                        ref = y.get(rdf + "resource") or next((z.get(rdf + "about") or z.get(rdf + "ID") for z in y), None)
-                        out.append((s, short(y.tag), short(ref) if ref is not None else (y.text or "").strip(), "literal" if ref is None else "uri"))
-            yield pd.DataFrame(out, columns=["s", "p", "o", "o_kind"])
+                    walk(x, out, blank)
+            yield pd.DataFrame(out, columns=["s", "p", "o", "o_kind", "datatype"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(statements, "s string, p string, o string, o_kind string")
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(statements, "s string, p string, o string, o_kind string, datatype string")
 
 
 def write_graph(graph: PropertyGraph, path: str) -> None:
@@ -179,9 +212,50 @@ def read_graph(spark: SparkSession, path: str) -> PropertyGraph:
     return PropertyGraph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
 
 
-def write_dot(graph: PropertyGraph, path: str) -> None:
-    """GraphViz statements, a file of lines for each task."""
+def write_dot(graph: PropertyGraph, path: str, name: str = "graph_") -> None:
+    """A GraphViz digraph as text files: the first one opens it, the last one closes it, in the order of their names."""
     esc = lambda c: F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r'(["\\])', r"\\$1")
-    nodes = graph.nodes.select(F.concat(F.lit("  n"), "id", F.lit(' [label="'), esc(F.col("label")), F.lit('"];')).alias("value"))
-    edges = graph.edges.select(F.concat(F.lit("  n"), "src", F.lit(" -> n"), "dst", F.lit(' [label="'), esc(F.col("type")), F.lit('"];')))
-    nodes.union(edges).write.text(path)
+    spark = graph.nodes.sparkSession
+    nodes = graph.nodes.select(F.lit(1).alias("at"), F.concat(F.lit("  n"), "id", F.lit(' [label="'), esc(F.col("label")), F.lit('"];')).alias("value"))
+    edges = graph.edges.select(F.lit(2), F.concat(F.lit("  n"), "src", F.lit(" -> n"), "dst", F.lit(' [label="'), esc(F.col("type")), F.lit('"];')))
+    frame = spark.createDataFrame([(0, f"digraph {name} {{"), (3, "}")], "at int, value string")
+    frame.union(nodes).union(edges).repartitionByRange("at", "value").sortWithinPartitions("at", "value").select("value").write.text(path)
+
+
+class Loader:
+    """Bulk loading: nodes and relationships come as tables with keys of their own, and are written as a graph by kind.
+
+    Properties that are set for keys are joined in before writing.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self._nodes, self._edges = spark, [], []
+
+    def nodes(self, rows: DataFrame, label: str) -> Loader:
+        """`rows` has id and properties."""
+        self._nodes.append(rows.withColumn("label", F.lit(label)))
+        return self
+
+    def relationships(self, rows: DataFrame, kind: str) -> Loader:
+        """`rows` has eid, src, dst and properties."""
+        self._edges.append(rows.withColumn("type", F.lit(kind)))
+        return self
+
+    def set_properties(self, rows: DataFrame, key: str) -> Loader:
+        """Values (id, value) of one property, for nodes that were given before; others keep theirs."""
+        new = rows.select("id", F.col("value").alias("__new"))
+        merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), self._nodes)
+        old = F.col(key) if key in merged.columns else F.lit(None)
+        self._nodes = [merged.join(new, "id", "left").withColumn(key, F.coalesce("__new", old)).drop("__new")]
+        return self
+
+    def graph(self) -> PropertyGraph:
+        both = [reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), x) for x in (self._nodes, self._edges)]
+        return PropertyGraph(*both)
+
+    def get_properties(self, ids: DataFrame) -> DataFrame:
+        return self.graph().nodes.join(ids.select("id"), "id", "left_semi")
+
+    def load(self, path: str) -> PropertyGraph:
+        write_graph(self.graph(), path)
+        return read_graph(self.spark, path)
