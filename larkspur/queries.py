@@ -132,10 +132,12 @@ def has_relationship(spark, d):
     return tables.commerce(spark, d).with_relationship(Expander((("PLACED", OUT),))).select("id")
 
 
-@query("SELECT 3000000000000 + c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT 3000000000000 + c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders))")
 def lacks_relationship(spark, d):
+    """Customers without a large order."""
     g = tables.commerce(spark, d)
-    return PropertyGraph(g.nodes.where("label = 'customer'"), g.edges).with_relationship(Expander((("PLACED", OUT),)), has=False).select("id")
+    large = tables.table(spark, d, "orders").agg(F.avg("o_totalprice") * 1.5).first()[0]
+    return PropertyGraph(g.nodes.where("label = 'customer'"), g.edges).with_relationship(Expander((("PLACED", OUT),)).where_rel(F.col("price") > large), has=False).select("id")
 
 
 @query(f"WITH {GEO} SELECT id, eid, dst AS other FROM geo_nodes LEFT JOIN geo ON src = id AND type = 'IN_REGION'")
@@ -143,18 +145,31 @@ def single_relationship(spark, d):
     return tables.geography(spark, d).single_relationship(Expander((("IN_REGION", OUT),)))
 
 
-@query(f"WITH {GEO} SELECT id, eid, type, other FROM (SELECT src AS id, eid, type, dst AS other FROM geo UNION ALL SELECT dst, eid, type, src FROM geo) WHERE id BETWEEN 2000000000000 AND 2000000000004")
+@query(f"WITH {GEO} SELECT src AS id, eid, type, dst AS other FROM geo UNION ALL SELECT dst, eid, type, src FROM geo")
 def expansion(spark, d):
     g = tables.geography(spark, d)
-    return g.expand(g.nodes.where(F.col("id").between(2 * tables.STEP, 2 * tables.STEP + 4)))
+    return g.expand(g.nodes)
 
 
-@query(f"WITH {GEO} SELECT src AS id, count(*) AS degree FROM geo JOIN geo_nodes ON id = dst WHERE name LIKE '%A' AND type <> 'IN_REGION' GROUP BY src")
+@query(f"WITH {GEO} SELECT DISTINCT src AS id, dst AS other FROM geo JOIN geo_nodes ON id = src WHERE type = 'LOCATED_IN' AND acctbal > 5000 AND dst <> 2000000000003")
+def expansion_pairs(spark, d):
+    """Pairs of an expansion, without one node and only from some."""
+    g = tables.geography(spark, d)
+    got = g.expansion(g.nodes.where("acctbal > 5000"), Expander((("LOCATED_IN", OUT),)), including=g.nodes, excluding=ids(spark, 2 * tables.STEP + 3))
+    return got.select("id", "other").distinct()
+
+
+@query(f"WITH {GEO} SELECT src AS id, count(*) AS degree FROM geo JOIN geo_nodes ON id = dst WHERE name LIKE '%5' AND type <> 'IN_REGION' GROUP BY src")
 def expander_filters(spark, d):
-    e = Expander(direction=OUT).remove("IN_REGION").where_node(F.col("name").endswith("A"))
+    e = Expander(direction=OUT).remove("IN_REGION").where_node(F.col("name").endswith("5"))
     return tables.geography(spark, d).degree(e)
 
 
+@query("SELECT 3000000000000 + o_custkey AS id, count(*) AS degree FROM orders WHERE o_totalprice < 100000 GROUP BY o_custkey")
+def expander_relationship_filter(spark, d):
+    return tables.commerce(spark, d).degree(Expander((("PLACED", OUT),)).where_rel(F.col("price") < 100000))
+
+
 # Properties and predicates.
 @query(f"WITH {GEO} SELECT id, coalesce(acctbal, 0) AS bal, segment IS NOT NULL AS has_segment FROM geo_nodes")
 def property_get_default_has(spark, d):
@@ -222,9 +237,9 @@ def filter_property_map(spark, d):
     return n.where(P.property_filter(P.properties(n), {"segm": "mach", "na": "1"}, ignore_case=True, loose=True)).select("id")
 
 
-@query(f"WITH {GEO} SELECT id FROM geo_nodes WHERE regexp_full_match(id::VARCHAR, '.*00[12]') OR regexp_full_match(name, '.*00[12]') OR regexp_full_match(segment, '.*00[12]')")
+@query(f"WITH {GEO} SELECT id FROM geo_nodes WHERE regexp_full_match(id::VARCHAR, '.*00[12]') OR regexp_full_match(name, '.*00[12]') OR regexp_full_match(segment, '.*00[12]') OR regexp_full_match(acctbal::VARCHAR, '.*00[12]')")
 def free_search(spark, d):
-    n = tables.geography(spark, d).nodes.drop("acctbal")
+    n = tables.geography(spark, d).nodes
     return n.where(P.free_search(F.col("id"), P.properties(n), ".*00[12]")).select("id")
 
 
@@ -248,12 +263,12 @@ RING_OUT = Expander(direction=OUT)
 @query(f"WITH RECURSIVE {RING}, {REACH.format(k=5)} SELECT id, min(depth) AS depth FROM reach GROUP BY id")
 def traverse_breadth_first(spark, d):
     t = Traversal(RING_OUT).breadth_first().prune_after(5)
-    return traversal.nodes(t.traverse(tables.ring(spark, d), ids(spark, 0))).select("id", "depth")
+    return traversal.nodes(t.reached(tables.ring(spark, d), ids(spark, 0))).select("id", "depth")
 
 
 @query(f"WITH RECURSIVE {RING}, r AS (SELECT 0::BIGINT AS id UNION SELECT dst FROM r JOIN ring ON src = id) SELECT id FROM r")
 def reachable_nodes(spark, d):
-    return Traversal(RING_OUT).traverse(tables.ring(spark, d), ids(spark, 0)).select(F.col("node").alias("id"))
+    return Traversal(RING_OUT).reached(tables.ring(spark, d), ids(spark, 0)).select(F.col("node").alias("id"))
 
 
 @query(f"WITH RECURSIVE {RING}, {REACH.format(k=2)}, low AS (SELECT id, min(depth) AS depth FROM reach GROUP BY id) SELECT eid, min(depth) + 1 AS depth FROM low JOIN ring ON src = id GROUP BY eid")
@@ -339,10 +354,42 @@ def ordered_by_type(spark, d):
     return t.ranked(tables.ring(spark, d), ids(spark, 0)).select("pos", text("rels").alias("rels"))
 
 
-@query(f"WITH RECURSIVE {RING}, r AS (SELECT 0::BIGINT AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN ring ON src = id WHERE depth < 3) SELECT id, min(depth) AS depth FROM r GROUP BY id HAVING min(depth) > 0")
+#: Trails with type ranks, each node's first one, in breadth-first order.
+LEGACY = """
+  x AS (SELECT eid, src AS frm, dst AS "to", CASE type WHEN 'HOP' THEN 0 ELSE 1 END AS k FROM ring),
+  t AS (SELECT 0::BIGINT AS node, NULL::BIGINT AS previous, NULL::BIGINT AS eid, []::BIGINT[] AS key
+        UNION ALL SELECT "to", node, x.eid, list_append(key, k * 1000000000 + x.eid) FROM t JOIN x ON frm = node WHERE len(key) < 3),
+  f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY node ORDER BY len(key), key) = 1)
+  SELECT node AS id, len(key)::INTEGER AS depth, previous, eid, row_number() OVER (ORDER BY len(key), key)::INTEGER AS returned FROM f WHERE len(key) > 0"""
+
+
+@query(f"WITH RECURSIVE {RING}, {LEGACY}")
 def legacy_traverser(spark, d):
-    got = traversal.legacy(tables.ring(spark, d), ids(spark, 0), traversal.PRE_BREADTH, F.col("depth") >= 3, F.col("depth") > 0, ("HOP", OUT), ("NEXT", OUT), max_depth=10)
-    return got.select("id", "depth")
+    got = traversal.legacy(tables.ring(spark, d), ids(spark, 0), traversal.PRE_BREADTH, F.col("depth") >= 3, traversal.ALL_BUT_START_NODE, ("HOP", OUT), ("NEXT", OUT))
+    return got.select("id", "depth", "previous", "eid", "returned")
+
+
+class HopsAndNexts(traversal.TraverserClass):
+    """What legacy_traverser asks for, as a class."""
+
+    types = (("HOP", OUT), ("NEXT", OUT))
+
+    def is_stop_node(self):
+        return F.col("depth") >= 3
+
+
+@query(f"WITH RECURSIVE {RING}, {LEGACY}")
+def traverser_class(spark, d):
+    return HopsAndNexts()(tables.ring(spark, d), ids(spark, 0)).select("id", "depth", "previous", "eid", "returned")
+
+
+@query(f"WITH {GEO} SELECT dst AS id FROM geo WHERE src = 4000000000001")
+def traverse_depth_one(spark, d):
+    """Ends of the graph and of depth one as stop conditions."""
+    g = tables.geography(spark, d)
+    one = traversal.legacy(g, ids(spark, 4 * tables.STEP + 1), traversal.PRE_BREADTH, traversal.DEPTH_ONE, traversal.ALL_BUT_START_NODE)
+    every = traversal.legacy(g, ids(spark, 4 * tables.STEP + 1), traversal.PRE_BREADTH, traversal.END_OF_GRAPH, traversal.ALL, ("LOCATED_IN", OUT))
+    return one.join(every, "id", "left_semi").select("id")
 
 
 @query(f"WITH {GEO} SELECT dst AS id, 1 AS depth FROM geo WHERE src = 3000000000007 UNION ALL SELECT b.dst, 2 FROM geo a JOIN geo b ON b.src = a.dst WHERE a.src = 3000000000007")
@@ -351,25 +398,55 @@ def shell_trav(spark, d):
     return got.select(F.col("node").alias("id"), "depth")
 
 
-@query(f"WITH RECURSIVE {RING}, {REACH.format(k=3)}, low AS (SELECT id, min(depth) AS depth FROM reach GROUP BY id) SELECT id, depth FROM low")
+def _nation_circle(spark, d):
+    """Each nation to the next one, the last to the first."""
+    n = tables.table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.lit("nation").alias("label"))
+    return PropertyGraph(n, n.select(F.col("id").alias("eid"), F.col("id").alias("src"), ((F.col("id") + 1) % 25).alias("dst"), F.lit("NEXT").alias("type")))
+
+
+@query("SELECT k % 25 AS id, k::INTEGER AS depth FROM (SELECT unnest(range(0, 29)) AS k)")
 def recently_unique(spark, d):
-    """The memory of two levels; in this graph each node's first level is the same as under NODE_GLOBAL."""
-    t = Traversal(RING_OUT, traversal.NODE_RECENT, recent=10_000).prune_after(3)
-    return t.traverse(tables.ring(spark, d), ids(spark, 0)).groupBy(F.col("node").alias("id")).agg(F.min("depth").alias("depth"))
+    """With a memory of five nodes the way around a circle of 25 goes on after the first node."""
+    t = Traversal(RING_OUT, traversal.NODE_RECENT, recent=5).prune_after(28)
+    return t.traverse(_nation_circle(spark, d), ids(spark, 0)).select(F.col("node").alias("id"), "depth")
+
+
+@query("SELECT k % 25 AS eid, k + 1 AS depth FROM (SELECT unnest(range(0, 25))::INTEGER AS k)")
+def recently_unique_relationships(spark, d):
+    """A memory of 30 relationships ends the way where the circle closes."""
+    t = Traversal(RING_OUT, traversal.RELATIONSHIP_RECENT, recent=30).prune_after(28)
+    return traversal.relationships(t.traverse(_nation_circle(spark, d), ids(spark, 0))).select("eid", "depth")
 
 
-@query("WITH x AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS depth FROM events) SELECT event_id AS id, depth::INTEGER AS depth FROM x WHERE depth <= 6")
+@query("WITH x AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS depth FROM events) SELECT event_id AS id, depth::INTEGER AS depth FROM x")
 def session_chains(spark, d):
     g = tables.sessions(spark, d)
     first = g.nodes.join(g.edges.select(F.col("dst").alias("id")), "id", "left_anti").select("id")
-    return Traversal(RING_OUT, max_depth=6).traverse(g, first).select(F.col("node").alias("id"), "depth")
+    return Traversal(RING_OUT).reached(g, first).select(F.col("node").alias("id"), "depth")
 
 
-@query("WITH x AS (SELECT conv_id * 1000 + turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS depth FROM conversations) SELECT id, depth::INTEGER AS depth FROM x WHERE depth <= 4")
+@query("WITH x AS (SELECT conv_id * 1048576 + turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS depth FROM conversations) SELECT id, depth::INTEGER AS depth FROM x")
 def dialogue_chains(spark, d):
     g = tables.dialogue(spark, d)
     first = g.nodes.join(g.edges.select(F.col("dst").alias("id")), "id", "left_anti").select("id")
-    return Traversal(RING_OUT, max_depth=4).traverse(g, first).select(F.col("node").alias("id"), "depth")
+    return Traversal(RING_OUT).reached(g, first).select(F.col("node").alias("id"), "depth")
+
+
+@query(f"""WITH RECURSIVE {RING}, x AS (SELECT 0::BIGINT AS node, 0::BIGINT AS w, []::BIGINT[] AS rels UNION ALL SELECT dst, w + cost, list_append(rels, eid) FROM x JOIN ring ON src = node WHERE len(rels) < 4 AND NOT list_contains(rels, eid))
+  SELECT row_number() OVER (ORDER BY w, len(rels), rels) AS pos, w::DOUBLE AS weight, array_to_string(rels, '-') AS rels FROM x""")
+def order_best_first(spark, d):
+    t = Traversal(RING_OUT, traversal.RELATIONSHIP_PATH, max_depth=4).best_first(F.col("cost"))
+    return t.ranked(tables.ring(spark, d), ids(spark, 0)).select("pos", "weight", text("rels").alias("rels"))
+
+
+@query(f"""WITH {GEO}, many AS (SELECT dst AS id, (count(*) > 60)::INTEGER AS held FROM geo WHERE type = 'LOCATED_IN' GROUP BY dst),
+  one AS (SELECT n.src AS id, [coalesce(held, 0), 0, n.eid] AS key FROM geo n LEFT JOIN many ON many.id = n.src WHERE n.dst = 1000000000000),
+  two AS (SELECT c.src AS id, list_concat(key, [0, 1, c.eid]) AS key FROM one JOIN geo c ON c.dst = one.id WHERE c.type = 'LOCATED_IN')
+  SELECT row_number() OVER (ORDER BY key) AS pos, id FROM (SELECT 1000000000000 AS id, []::BIGINT[] AS key UNION ALL SELECT * FROM one UNION ALL SELECT * FROM two)""")
+def order_lite_depth_first(spark, d):
+    """Nations with more than 60 companies come after the others."""
+    t = Traversal(Expander((("IN_REGION", IN), ("LOCATED_IN", IN))), max_depth=2).lite_depth_first(60)
+    return t.ranked(tables.geography(spark, d), ids(spark, tables.STEP)).select("pos", F.col("node").alias("id"))
 
 
 # Paths in the ring, from 0 to 31 and others.
@@ -390,9 +467,9 @@ def simple_paths(spark, d):
     return _paths(paths.simple_paths(tables.ring(spark, d), 0, 31, RING_OUT, 6))
 
 
-@query(f"WITH RECURSIVE {RING}{BOTH_RING}, {_trails(4)} SELECT {PATH_COLS} FROM trails WHERE node = 31 AND len(rels) = 4")
+@query(f"WITH RECURSIVE {RING}{BOTH_RING}, {_trails(4)} SELECT {PATH_COLS} FROM trails WHERE node = 24 AND len(rels) = 4")
 def exact_depth_paths(spark, d):
-    return _paths(paths.exact_depth(tables.ring(spark, d), 0, 31, Expander(), 4))
+    return _paths(paths.exact_depth(tables.ring(spark, d), 0, 24, Expander(), 4))
 
 
 @query(f"WITH RECURSIVE {RING}{BOTH_RING}, {_trails(5)}, p AS (SELECT * FROM trails WHERE node = 31) SELECT {PATH_COLS} FROM p WHERE len(rels) = (SELECT min(len(rels)) FROM p)")
@@ -405,9 +482,9 @@ def single_shortest_path(spark, d):
     return _paths(paths.single(paths.shortest_paths(tables.ring(spark, d), 0, 31, Expander(), 5)))
 
 
-@query(f"WITH RECURSIVE {RING}, {REACH.format(k=60)} SELECT id AS node, min(depth) AS dist FROM reach GROUP BY id")
+@query(f"WITH RECURSIVE {RING}, {REACH.format(k='(SELECT count(*) FROM supplier)')} SELECT id AS node, min(depth) AS dist FROM reach GROUP BY id")
 def hop_distances(spark, d):
-    return paths.hop_distances(tables.ring(spark, d), ids(spark, 0), RING_OUT, 60).select("node", "dist")
+    return paths.hop_distances(tables.ring(spark, d), ids(spark, 0), RING_OUT).select("node", "dist")
 
 
 COSTS = """
@@ -415,9 +492,24 @@ COSTS = """
   best AS (SELECT node, min(dist) AS dist FROM c GROUP BY node)"""
 
 
-@query(f"WITH RECURSIVE {RING}{DIRECTED}, {COSTS.format(k=24)} SELECT node, dist::DOUBLE AS dist FROM best")
+#: No cheapest path costs more than a way through all nodes.
+ALL_COSTS = COSTS.format(k="(SELECT 5 * count(*) FROM supplier)")
+
+
+@query(f"WITH RECURSIVE {RING}{DIRECTED}, {ALL_COSTS} SELECT node, dist::DOUBLE AS dist FROM best")
 def cheapest_costs(spark, d):
-    return paths.distances(tables.ring(spark, d), ids(spark, 0), F.col("cost"), RING_OUT, 24).select("node", "dist")
+    return paths.distances(tables.ring(spark, d), ids(spark, 0), F.col("cost"), RING_OUT).select("node", "dist")
+
+
+@query(f"WITH RECURSIVE {RING}{DIRECTED}, {COSTS.format(k=15)} SELECT node, dist::DOUBLE AS dist FROM best")
+def cheapest_costs_within(spark, d):
+    return paths.distances(tables.ring(spark, d), ids(spark, 0), F.col("cost"), RING_OUT, 15).select("node", "dist")
+
+
+@query(f"WITH RECURSIVE {RING}{DIRECTED}, {ALL_COSTS} SELECT node AS id, dist::DOUBLE AS weight FROM best")
+def best_first_nodes(spark, d):
+    t = Traversal(RING_OUT).best_first(F.col("cost"))
+    return t.traverse(tables.ring(spark, d), ids(spark, 0)).select(F.col("node").alias("id"), "weight")
 
 
 CHEAP = """
@@ -426,15 +518,22 @@ CHEAP = """
         JOIN best ON best.node = "to" AND best.dist = w + cost)"""
 
 
-@query(f"WITH RECURSIVE {RING}{DIRECTED}, {COSTS.format(k=24)}, {CHEAP} SELECT {PATH_COLS}, w::DOUBLE AS weight FROM p WHERE node = 31")
+@query(f"WITH RECURSIVE {RING}{DIRECTED}, {ALL_COSTS}, {CHEAP} SELECT {PATH_COLS}, w::DOUBLE AS weight FROM p WHERE node = 31")
 def cheapest_paths(spark, d):
-    got = paths.cheapest_paths(tables.ring(spark, d), 0, 31, F.col("cost"), RING_OUT, 24)
+    got = paths.cheapest_paths(tables.ring(spark, d), 0, 31, F.col("cost"), RING_OUT)
     return got.select("length", text("nodes").alias("nodes"), text("rels").alias("rels"), "weight")
 
 
-@query(f"WITH RECURSIVE {RING}{DIRECTED}, {COSTS.format(k=24)} SELECT dist::DOUBLE AS weight FROM best WHERE node = 31")
+@query(f"WITH RECURSIVE {RING}{DIRECTED}, {ALL_COSTS}, {CHEAP} SELECT {PATH_COLS}, w::DOUBLE AS weight FROM p WHERE node = 31 ORDER BY len(p.rels), p.rels LIMIT 1")
 def a_star(spark, d):
-    return paths.a_star(tables.ring(spark, d), 0, 31, F.col("cost"), RING_OUT, F.lit(0), 24).select("weight")
+    """Every relationship costs 1 at least, so that this much is left at any node but the end."""
+    got = paths.a_star(tables.ring(spark, d), 0, 31, F.col("cost"), RING_OUT, F.when(F.col("id") == 31, 0.0).otherwise(1.0))
+    return got.select("length", text("nodes").alias("nodes"), text("rels").alias("rels"), "weight")
+
+
+@query(f"WITH RECURSIVE {RING}{DIRECTED}, {ALL_COSTS}, {CHEAP} SELECT DISTINCT unnest(nodes) AS node, w::DOUBLE AS weight FROM p WHERE node = 31")
+def cheapest_between(spark, d):
+    return paths.cheapest_between(tables.ring(spark, d), 0, 31, F.col("cost"), RING_OUT)
 
 
 @query(f"WITH RECURSIVE {RING}{DIRECTED}, {REACH.format(k=8)}, low AS (SELECT id, min(depth) AS depth FROM reach GROUP BY id) SELECT b.id AS node, a.id AS pred, eid FROM low a JOIN adj ON frm = a.id JOIN low b ON b.id = \"to\" AND b.depth = a.depth + 1")
@@ -458,8 +557,9 @@ def path_counts(spark, d):
 
 
 @query(f"""WITH RECURSIVE {TRADE},
-  c AS (SELECT n_nationkey::BIGINT AS i, n_nationkey::BIGINT AS j, 0::BIGINT AS w FROM nation UNION SELECT i, dst, w + rank FROM c JOIN trade ON src = j WHERE w < 60)
-  SELECT i, j, min(w)::DOUBLE AS dist FROM c GROUP BY i, j""")
+  c AS (SELECT n_nationkey::BIGINT AS i, n_nationkey::BIGINT AS j, 0::BIGINT AS w FROM nation UNION SELECT i, dst, w + rank FROM c JOIN trade ON src = j WHERE w < 60),
+  b AS (SELECT i, j, min(w) AS w FROM c GROUP BY i, j)
+  SELECT b.i, b.j, b.w::DOUBLE AS dist, min(a.j) AS pred FROM b LEFT JOIN (b a JOIN trade t ON t.src = a.j) ON a.i = b.i AND t.dst = b.j AND a.w + t.rank = b.w AND b.i <> b.j GROUP BY b.i, b.j, b.w""")
 def all_pairs_costs(spark, d):
     return paths.all_pairs(tables.trade(spark, d), F.col("rank"), RING_OUT)
 
@@ -515,6 +615,18 @@ def eigenvector(spark, d):
     return got.select("id", F.round("eigenvector", 6).alias("eigenvector"))
 
 
+@query("SELECT n_nationkey::BIGINT AS id, true AS fits FROM nation")
+def eigenvector_arnoldi(spark, d):
+    """The matrix times the vector is a multiple of it: the residual of every node, against the dominant value."""
+    g = tables.trade(spark, d)
+    x = centrality.eigenvector_arnoldi(g, F.col("rank"), precision=1e-6)
+    adj = PropertyGraph(g.nodes, g.edges.withColumn("w", F.col("rank").cast("double"))).adjacency(keep=["w"])
+    y = adj.join(x.select(F.col("id").alias("to"), F.col("eigenvector").alias("x")), "to").groupBy("frm").agg(F.sum(F.col("w") * F.col("x")).alias("y"))
+    both = x.join(y, F.col("id") == F.col("frm"))
+    top = both.agg(F.sum(F.col("y") * F.col("eigenvector"))).first()[0]
+    return both.select("id", (F.abs(F.col("y") - F.lit(top) * F.col("eigenvector")) < 1e-4 * top).alias("fits"))
+
+
 # Patterns.
 @query(f"WITH {TRADE} SELECT a.src AS a, b.src AS b, c.src AS c FROM trade a JOIN trade b ON b.src = a.dst JOIN trade c ON c.src = b.dst AND c.dst = a.src")
 def pattern_triangle(spark, d):
@@ -544,12 +656,44 @@ def pattern_optional(spark, d):
     return pattern.match(tables.geography(spark, d), p).select("nation", "customer")
 
 
-@query("SELECT 3000000000000 + o_custkey AS customer, 5000000000000 + l_partkey AS part, l_quantity AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 50 AND o_custkey % 2 = 0")
+_FILTERED = "SELECT 3000000000000 + o_custkey AS customer, 5000000000000 + l_partkey AS part, l_quantity AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 45 AND "
+
+
+def _orders_pattern(**more):
+    return Pattern(
+        (PatternNode("customer", label="customer"), PatternNode("order"), PatternNode("part")),
+        (PatternRel("customer", "order", "PLACED", name="placed"), PatternRel("order", "part", "CONTAINS", where=(lambda e: e["qty"] >= 45,), name="line")),
+        keep={"placed": ("price",), "line": ("qty", "price")}, **more,
+    )
+
+
+@query(_FILTERED + "l_extendedprice * 2 > o_totalprice")
 def pattern_filters(spark, d):
-    p = Pattern((PatternNode("customer", label="customer"), PatternNode("order"), PatternNode("part")), (PatternRel("customer", "order", "PLACED"), PatternRel("order", "part", "CONTAINS", where=(lambda e: e["qty"] >= 50,), name="line")), filters=(F.col("customer") % 2 == 0,))
-    g = tables.commerce(spark, d)
-    got = pattern.match(g, p)
-    return got.join(g.edges.where("type = 'CONTAINS'").select(F.col("eid").alias("line"), "qty"), "line").select("customer", "part", "qty")
+    """A condition between two relationships of a match."""
+    p = _orders_pattern(filters=(F.col("line_price") * 2 > F.col("placed_price"),))
+    return pattern.match(tables.commerce(spark, d), p).select("customer", "part", F.col("line_qty").alias("qty"))
+
+
+@query(_FILTERED + "((l_extendedprice * 2 > o_totalprice AND l_quantity >= 48) OR (o_totalprice < 100000 AND l_quantity < 47))")
+def pattern_filter_groups(spark, d):
+    p = _orders_pattern(any_group=True).group("large share", F.col("line_price") * 2 > F.col("placed_price"), F.col("line_qty") >= 48)
+    p = p.group("small order", F.col("placed_price") < 100000).group("small order", F.col("line_qty") < 47)
+    return pattern.match(tables.commerce(spark, d), p).select("customer", "part", F.col("line_qty").alias("qty"))
+
+
+@query("SELECT n_nationkey::BIGINT AS a, b.n % 7 AS b FROM nation JOIN (SELECT unnest(range(0, 25)) AS n) b ON b.n = n_nationkey WHERE n_nationkey % 7 = n_nationkey")
+def pattern_self(spark, d):
+    """A relationship from a node to itself, and its end."""
+    n = tables.table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.lit("nation").alias("label"))
+    g = PropertyGraph(n, n.select(F.col("id").alias("eid"), F.col("id").alias("src"), (F.col("id") % 7).alias("dst"), F.lit("REST").alias("type")))
+    return pattern.match(g, Pattern((PatternNode("a"),), (PatternRel("a", "a", "REST"),))).select("a", F.col("a").alias("b"))
+
+
+@query("SELECT 3000000000000 + c_custkey AS id FROM customer WHERE (c_acctbal > 9000 AND c_mktsegment = 'BUILDING') OR (c_acctbal < 0 AND c_nationkey < 10)")
+def filter_groups(spark, d):
+    c = tables.table(spark, d, "customer")
+    groups = {"rich": [F.col("c_acctbal") > 9000, P.exact(F.col("c_mktsegment"), "BUILDING")], "poor": [F.col("c_acctbal") < 0, F.col("c_nationkey") < 10]}
+    return c.where(P.filter_groups(groups, any_group=True)).select((F.lit(3 * tables.STEP) + F.col("c_custkey")).alias("id"))
 
 
 # Index look-ups.
@@ -587,7 +731,8 @@ for _name, _query, _sql in (
     ("fulltext_query_must", "+the -of in", "list_contains(t, 'the') AND NOT list_contains(t, 'of')"),
     ("fulltext_query_prefix", "wort*", "len(list_filter(t, lambda x: starts_with(x, 'wort'))) > 0"),
     ("fulltext_query_fuzzy", "stupit~", "len(list_filter(t, lambda x: 1 - levenshtein(x, 'stupit') / least(length(x), 6) > 0.5)) > 0"),
-    ("fulltext_query_range", "[zz TO zzz]", "len(list_filter(t, lambda x: x >= 'zz' AND x <= 'zzz')) > 0"),
+    ("fulltext_query_range", "[idio TO idiots]", "len(list_filter(t, lambda x: x >= 'idio' AND x <= 'idiots')) > 0"),
+    ("fulltext_query_precedence", "idiot AND the OR scum", "list_contains(t, 'idiot') AND list_contains(t, 'the')"),
     ("fulltext_query_groups", "(idiot OR scum) AND NOT the", "list_has_any(t, ['idiot', 'scum']) AND NOT list_contains(t, 'the')"),
 ):
     QUERIES[_name] = lambda spark, d, q=_query: index.query(_docs(spark, d), "text", q)
@@ -659,11 +804,12 @@ def statements_size(spark, d):
     return rdf.size(_statements(spark, d), "nation:3", "nation:4")
 
 
-@query(f"WITH {QUADS} SELECT count(*) + 1 AS size FROM quads")
+@query(f"WITH {QUADS} SELECT s, p, ctx FROM quads UNION ALL SELECT 'x', 'y', 'c'")
 def statements_add(spark, d):
+    """A new statement twice, and all places again."""
     q = _statements(spark, d)
     new = spark.createDataFrame([("x", "y", "z", "uri", "c"), ("x", "y", "z", "uri", "c")], "s string, p string, o string, o_kind string, ctx string")
-    return rdf.size(rdf.add(q, new.unionByName(q.limit(3), allowMissingColumns=True)))
+    return rdf.add(q, new.unionByName(q.where("p = 'located_in'"), allowMissingColumns=True)).select("s", "p", "ctx")
 
 
 @query(f"WITH {QUADS} SELECT s, p, ctx FROM quads WHERE p <> 'name'")
@@ -671,16 +817,17 @@ def statements_remove(spark, d):
     return rdf.remove(_statements(spark, d), rdf.ANY, "name", rdf.ANY).select("s", "p", "ctx")
 
 
-@query(f"WITH {QUADS} SELECT CASE ctx WHEN 'nation:3' THEN 'nation:4' ELSE ctx END AS ctx, count(*) AS n FROM quads GROUP BY 1")
+@query(f"WITH {QUADS} SELECT s, p, CASE ctx WHEN 'nation:3' THEN 'nation:4' ELSE ctx END AS ctx FROM quads")
 def statements_rename_context(spark, d):
-    return rdf.rename_context(_statements(spark, d), "nation:3", "nation:4").groupBy("ctx").agg(F.count("*").alias("n"))
+    return rdf.rename_context(_statements(spark, d), "nation:3", "nation:4").select("s", "p", "ctx")
 
 
-@query(f"WITH {QUADS} SELECT DISTINCT s, o FROM quads WHERE kind = 'literal' AND p = 'name' AND list_has_any(string_split_regex(lower(o), '\\s+'), [(SELECT min(lower(s_name)) FROM supplier)])")
+@query("""WITH n AS (SELECT count(*) AS n FROM supplier), f AS (SELECT min(lower(s_name)) AS t FROM supplier)
+  SELECT 'supplier:' || s_suppkey AS s, s_name AS o, round(ln(1 + n / 1.0), 6) AS score, s_name AS snippet FROM supplier, n, f WHERE lower(s_name) = t""")
 def statements_search(spark, d):
     q = _statements(spark, d).where("p = 'name'")
     first = tables.table(spark, d, "supplier").agg(F.min(F.lower("s_name"))).first()[0]
-    return rdf.search(q, first, snippets=100).select("s", "o")
+    return rdf.search(q, first, snippets=100).select("s", "o", F.round("score", 6).alias("score"), "snippet")
 
 
 @query(f"WITH {QUADS} SELECT a.s AS x, b.o AS name FROM quads a JOIN quads b ON a.s = b.s AND b.p = 'name' WHERE a.p = 'located_in' AND a.o = 'nation:3'")
@@ -713,9 +860,9 @@ def class_closure(spark, d):
 @query(f"""WITH RECURSIVE {MODEL}, i AS (
   SELECT 'Supplier' AS class, 's' || s_suppkey AS instance FROM supplier UNION ALL SELECT 'Nation', 'n' || n_nationkey FROM nation
   UNION ALL SELECT 'Region', 'r' || r_regionkey FROM region UNION ALL SELECT 'Customer ' || c_mktsegment, 'c' || c_custkey FROM customer)
-  SELECT class, count(*) AS n FROM (SELECT class, instance FROM i UNION SELECT super, instance FROM i JOIN up ON sub = class) GROUP BY class""")
+  SELECT class, instance FROM i UNION SELECT super, instance FROM i JOIN up ON sub = class""")
 def all_instances(spark, d):
-    return metamodel.all_instances(*tables.hierarchy(spark, d)).groupBy("class").agg(F.count("*").alias("n"))
+    return metamodel.all_instances(*tables.hierarchy(spark, d))
 
 
 @query("SELECT class, 'size' AS property, CASE WHEN class = 'Company' OR class = 'Supplier' OR starts_with(class, 'Customer') THEN 'int' ELSE 'double' END AS value FROM (SELECT unnest(['Thing', 'Company', 'Place', 'Supplier', 'Customer', 'Nation', 'Region']) AS class UNION ALL SELECT DISTINCT 'Customer ' || c_mktsegment FROM customer)")
@@ -764,22 +911,34 @@ def snapshot_changes(spark, d):
     return collections.changes(old.nodes, new.nodes, "id")
 
 
-# Generators and streams, checked by their row counts and in tests.
-@query("SELECT 1000 AS nodes, 999 AS edges")
+# Generators.
+@query("SELECT (i - 1) // 2 AS src, i AS dst FROM (SELECT unnest(range(1, 1000)) AS i)")
 def generate_tree(spark, d):
-    g = generators.tree(spark, 1000)
-    return g.nodes.agg(F.count("*").cast("int").alias("nodes")).crossJoin(g.edges.agg(F.count("*").cast("int").alias("edges")))  # one row each
+    return generators.tree(spark, 1000).edges.select("src", "dst")
 
 
-@query("SELECT 500 AS nodes, 1500 AS edges")
+@query("SELECT i AS src, (i + k) % 500 AS dst FROM (SELECT unnest(range(0, 500)) AS i), (SELECT unnest([1, 2, 3]) AS k)")
 def generate_small_world(spark, d):
-    g = generators.small_world(spark, 500, 3, 0.1)
-    return g.nodes.agg(F.count("*").cast("int").alias("nodes")).crossJoin(g.edges.agg(F.count("*").cast("int").alias("edges")))  # one row each
+    """Without an end drawn anew it is a ring."""
+    return generators.small_world(spark, 500, 3, 0.0).edges.select("src", "dst")
 
 
-@query("SELECT 200 AS sources")
+@query("SELECT i AS src, 3 AS n, true AS earlier FROM (SELECT unnest(range(1, 201)) AS i)")
 def generate_preferential(spark, d):
-    return generators.preferential_attachment(spark, 201, 3).edges.where("dst >= 0 and dst < src").agg(F.countDistinct("src").cast("int").alias("sources"))
+    """Every node but the first links to three earlier ones."""
+    e = generators.preferential_attachment(spark, 201, 3).edges
+    return e.groupBy("src").agg(F.count("*").cast("int").alias("n"), F.min((F.col("dst") >= 0) & (F.col("dst") < F.col("src"))).alias("earlier"))
+
+
+@query("SELECT i AS src, i // 20 + 1 AS layer, 4 AS n FROM (SELECT unnest(range(0, 100)) AS i)")
+def generate_layered(spark, d):
+    e = generators.layered(spark, 6, 20, 4).edges
+    return e.groupBy("src", F.floor(F.col("dst") / 20).alias("layer")).agg(F.count("*").cast("int").alias("n"))
+
+
+@query("SELECT i AS eid, true AS inside FROM (SELECT unnest(range(0, 5000)) AS i)")
+def generate_random(spark, d):
+    return generators.random_graph(spark, 300, 5000, 1).edges.select("eid", (F.col("src").between(0, 299) & F.col("dst").between(0, 299)).alias("inside"))
 
 
 @query(f"WITH {GEO} SELECT type, count(*) AS n FROM geo WHERE src <> 2000000000003 AND dst <> 2000000000003 GROUP BY type UNION ALL SELECT 'NEAR', 1")
@@ -827,9 +986,11 @@ def statement_metadata(spark, d):
     return rdf.with_metadata(q, "source", F.lit("import"), F.col("p") == "name").where("meta['source'] = 'import'").select("s")
 
 
-@query(f"WITH {QUADS} SELECT p AS type, count(*) AS n FROM quads WHERE kind <> 'literal' GROUP BY p")
+@query(f"WITH {QUADS} SELECT s AS src, p AS type, o AS dst FROM quads WHERE kind <> 'literal'")
 def statements_as_graph(spark, d):
-    return rdf.as_graph(_statements(spark, d)).edges.groupBy("type").agg(F.count("*").alias("n"))
+    g = rdf.as_graph(_statements(spark, d))
+    name = lambda c: g.nodes.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
+    return g.edges.join(name("src"), "src").join(name("dst"), "dst").select(F.col("src_name").alias("src"), "type", F.col("dst_name").alias("dst"))
 
 
 @query("SELECT doc_id, len(list_distinct(string_split(text, ' '))) AS words FROM documents")
@@ -838,8 +999,12 @@ def array_as_set(spark, d):
     return docs.select("doc_id", F.size(P.as_set(F.col("w"), True)).cast("long").alias("words"))
 
 
-@query("SELECT o_custkey, sum(o_totalprice) > 500000 AS large FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, sum(round(o_totalprice * 100)::BIGINT * (o_orderkey % 7))::DOUBLE AS value FROM orders GROUP BY o_custkey")
 def sparse_matrix_times_vector(spark, d):
+    """In whole cents, whose sums are exact."""
     o = tables.table(spark, d, "orders")
-    got = centrality.mat_vec(o.select(F.col("o_custkey").alias("row"), F.col("o_orderkey").alias("col"), F.col("o_totalprice").alias("value")), o.select(F.col("o_orderkey").alias("col"), F.lit(1.0).alias("value")))
-    return got.select(F.col("row").alias("o_custkey"), (F.col("value") > 500000).alias("large"))
+    matrix = o.select(F.col("o_custkey").alias("row"), F.col("o_orderkey").alias("col"), F.round(F.col("o_totalprice") * 100).alias("value"))
+    return centrality.mat_vec(matrix, o.select(F.col("o_orderkey").alias("col"), (F.col("o_orderkey") % 7).cast("double").alias("value"))).withColumnRenamed("row", "o_custkey")
+
+
+from . import model_queries  # noqa: E402, F401
