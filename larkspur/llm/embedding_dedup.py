@@ -3,10 +3,20 @@
 Unit vectors with cosine t or more lie within the squared distance 2 - 2t.
 After a fixed random rotation, which spreads distances evenly, the coordinates
 are split into blocks of BLOCK dimensions; a close pair must be within its
-proportional share of the squared distance in at least one block. In each
-block that range join runs over a grid on its first two coordinates: a vector
-is at home in one cell and visits the neighbours within the radius. The pairs
-found in any block are united and verified exactly on the vectors as given.
+proportional share of the squared distance in at least one block. That range
+join runs over strips of one radius on every coordinate of the block, refined
+one coordinate after the other, so that only rows in neighbouring strips of all
+coordinates are compared. A pair is taken up in the first block that admits it,
+its whole distance decides, and pairs within rounding of the threshold are
+verified on the vectors as given.
+
+Rows of one label go to one task as long as they are few. Larger labels are
+cut into blocks, and these into cells on two coordinates at a time until they
+are small: a vector is at home in one cell and visits those within the radius.
+Cells that are still large after all coordinates are compared tile by tile.
+
+Links leave a task as counts for each vector and as edges that connect what is
+linked, never pair by pair.
 """
 
 from __future__ import annotations
@@ -18,11 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, free_names, superseded, written
 
 BLOCK, SEED, SLACK = 8, 11, 1e-5
-#: Rows of a cell that one task compares; larger cells are cut into tiles, and each pair of tiles is compared.
-TILE = 4096
+#: Squared distances this near to the limit are verified with the vectors as given.
+UNSURE = 1e-6
+#: Rows that one task compares with each other; larger groups are cut.
+SPLIT = 8192
+#: Pairs that are expanded at a time.
+CHUNK = 1 << 20
+#: Cells are so many radii wide.
+WIDE = 4
+
+#: Roles of a row within a group: compared with others, compared and found, found by others only.
+VISITOR, BOTH, HOME = 0, 1, 2
 
 
 def rotation(dims: int) -> np.ndarray:
@@ -30,6 +49,12 @@ def rotation(dims: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def blocks(dims: int, threshold: float) -> list[tuple[int, int, float]]:
+    """Begin, end and budget of each block."""
+    cut = [(s, min(dims, s + BLOCK)) for s in range(0, dims, BLOCK)]
+    return [(s, e, (2 - 2 * threshold) * (e - s) / dims + SLACK) for s, e in cut]
+
+
 def _mix(*parts: np.ndarray) -> np.ndarray:
     """64-bit hash of integer columns; equal hashes of different cells only cost comparisons."""
     h = np.full(len(parts[0]), 0x9E3779B97F4A7C15, np.uint64)
@@ -39,125 +64,240 @@ def _mix(*parts: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _vectors(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), "<f8").reshape(len(col), -1)
-
-
-def cells(group: np.ndarray, unit: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each block and visit: (row, key of the cell, at home, coordinates in the block)."""
-    dims = unit.shape[1]
-    turned = unit @ rotation(dims)
-    for b, first in enumerate(range(0, dims, BLOCK)):
-        x = turned[:, first : first + BLOCK]
-        budget = (2 - 2 * threshold) * x.shape[1] / dims + SLACK
-        radius = np.sqrt(budget)
-        grid = x[:, :2] / (2 * radius)
-        home = np.floor(grid).astype(np.int64)
-        low, high = np.floor(grid - 0.5).astype(np.int64), np.floor(grid + 0.5).astype(np.int64)
-        options = [((low[:, k], np.ones(len(x), bool)), (high[:, k], high[:, k] > low[:, k])) for k in range(grid.shape[1])]
-        other = options[1] if len(options) > 1 else ((np.zeros(len(x), np.int64), np.ones(len(x), bool)),)
-        for c0, ok0 in options[0]:
-            for c1, ok1 in other:
-                at = np.flatnonzero(ok0 & ok1)
-                own = (c0 == home[:, 0]) & (c1 == home[:, 1] if len(options) > 1 else True)
-                key = _mix(group[at], np.full(len(at), b), np.full(len(at), dims), c0[at], c1[at])
-                yield at, key, own[at], np.ascontiguousarray(x[at], "<f4")
-
-
-def _pairs_of(table: pa.Table, budget: float) -> tuple[np.ndarray, np.ndarray]:
-    ids = table.column("id").to_numpy()
-    x = np.frombuffer(b"".join(table.column("x").to_pylist()), "<f4").reshape(len(ids), -1).astype(np.float64)
-    home = np.flatnonzero(table.column("home").to_numpy())
-    norm = (x * x).sum(axis=1)
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for s in range(0, len(home), 512):
-        h = home[s : s + 512]
-        near = norm[h][:, None] + norm[None, :] - 2 * (x[h] @ x.T) <= budget
-        near &= ids[h][:, None] < ids[None, :]
-        i, j = np.nonzero(near)
-        a.append(ids[h[i]])
-        b.append(ids[j])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def links(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE) -> DataFrame:
-    """(a, b), a < b: all pairs of one group with a cosine of at least `threshold`.
-
-    `vectors` has id long (unique), grp long, v binary (little-endian doubles, finite, not all zero).
+def _matrix(col: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), kind).reshape(len(col), -1)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    scaled = v / np.abs(v).max(axis=1, keepdims=True)  # first, so that no square overflows or vanishes
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
+def visits(x: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Cells on the columns of x that rows are in or near: (row, whether at home, cell numbers)."""
+    grid = x / (WIDE * radius)
+    home = np.floor(grid).astype(np.int64)
+    low, high = (np.floor(grid + d / WIDE).astype(np.int64) for d in (-1, 1))
+    for which in np.ndindex(*(2,) * x.shape[1]):
+        w = np.array(which, bool)
+        cell = np.where(w, high, low)
+        at = np.flatnonzero((~w | (high > low)).all(axis=1))
+        yield at, (cell[at] == home[at]).all(axis=1), cell[at]
+
+
+def _cross(first: np.ndarray, first2: np.ndarray, last: np.ndarray, last2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a member of the range [first[i], last[i]) and one of [first2[i], last2[i])."""
+    nb = last2 - first2
+    n = (last - first) * nb
+    which = np.repeat(np.arange(len(n)), n)
+    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return first[which] + k // nb[which], first2[which] + k % nb[which]
+
+
+def near_pairs(x: np.ndarray, radius: float, one: np.ndarray, two: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a row marked in `one` and a row marked in `two` in neighbouring strips of every column of x, each once."""
+    code = np.floor(x / radius).astype(np.int64)
+    order = np.lexsort(code.T[::-1])
+    code, n, width = code[order], len(order), x.shape[1]
+    # Groups of each level: rows with equal strips on the columns so far, as ranges of groups of the next level; at last of rows.
+    new = np.zeros(n, bool)
+    new[:1] = True
+    starts = [np.zeros(1, np.int64)]
+    for k in range(width):
+        new[1:] |= code[1:, k] != code[:-1, k]
+        starts.append(np.flatnonzero(new))
+    starts.append(np.arange(n))
+    rows = [np.append(s, n) for s in starts]
+    child = [np.searchsorted(b, a) for a, b in zip(rows, rows[1:], strict=False)]
+    has = [[np.add.reduceat(m[order], s) > 0 for s in starts[:-1]] for m in (one, two)]
+    todo = [(0, np.zeros(1, np.int64), np.zeros(1, np.int64))] if n else []
+    while todo:
+        level, a, b = todo.pop()
+        first, last = child[level][:-1], child[level][1:]
+        cost = np.cumsum((last[a] - first[a]) * (last[b] - first[b]))
+        if len(a) > 1 and cost[-1] > CHUNK:
+            cut = max(1, min(len(a) - 1, int(np.searchsorted(cost, cost[-1] // 2))))
+            todo += [(level, a[:cut], b[:cut]), (level, a[cut:], b[cut:])]
+            continue
+        if level == width:
+            step = max(1, CHUNK // int((last[b] - first[b]).max())) if len(a) == 1 else n  # a large cell goes by some rows at a time
+            for s in range(0, int((last[a] - first[a]).max()), step):
+                i, j = _cross(first[a] + s, first[b], np.minimum(last[a], first[a] + s + step), last[b])
+                keep = one[order[i]] & two[order[j]]
+                yield order[i[keep]], order[j[keep]]
+            continue
+        a, b = _cross(first[a], first[b], last[a], last[b])
+        at = starts[level + 1]
+        keep = (np.abs(code[at[a], level] - code[at[b], level]) <= 1) & has[0][level + 1][a] & has[1][level + 1][b]
+        if keep.any():
+            todo.append((level + 1, a[keep], b[keep]))
+
+
+class Linked:
+    """What a group has found: linked copies of each row, a label of each connected part, pairs that are not sure."""
+
+    def __init__(self, n: int) -> None:
+        self.degree, self.label, self.unsure, self.compared = np.zeros(n, np.int64), np.arange(n), [], 0
+
+    def add(self, i: np.ndarray, j: np.ndarray, copies: np.ndarray) -> None:
+        n = len(self.degree)
+        # Sums of integers, exact in doubles.
+        self.degree += (np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)).astype(np.int64)
+        while len(i):
+            a, b = self.label[i], self.label[j]
+            if (a == b).all():
+                break
+            np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
+            while (self.label[self.label] != self.label).any():
+                self.label = self.label[self.label]
+
+
+def compare(ids: np.ndarray, y: np.ndarray, copies: np.ndarray, role: np.ndarray, block: int, threshold: float) -> Linked:
+    """Links between rows of one group, of one block or (-1) of all.
+
+    A pair belongs to the row with the smaller id, which has to be at home, and
+    to the first block within whose budget it is.
     """
-    if not 0 < threshold <= 1:
-        raise ValueError("the threshold has to be a positive cosine")
+    out, limit = Linked(len(ids)), 2 - 2 * threshold
+    each = blocks(y.shape[1], threshold)
+
+    def apart(i: np.ndarray, j: np.ndarray, s: int, e: int) -> np.ndarray:
+        d = np.zeros(len(i))
+        for k in range(s, e):  # in this order always, so that every task gets the same sum
+            t = y[i, k].astype(np.float64) - y[j, k]
+            d += t * t
+        return d
+
+    for b in range(len(each)) if block < 0 else [block]:
+        s, e, budget = each[b]
+        for i, j in near_pairs(y[:, s:e].astype(np.float64), np.sqrt(budget), role >= BOTH, role <= BOTH):
+            mine = ids[i] < ids[j]
+            i, j = i[mine], j[mine]
+            out.compared += len(i)
+            near = apart(i, j, s, e) <= budget
+            i, j = i[near], j[near]
+            for s2, e2, budget2 in each[:b]:
+                rest = apart(i, j, s2, e2) > budget2
+                i, j = i[rest], j[rest]
+            if len(i):
+                d = apart(i, j, 0, y.shape[1])
+                unsure = np.abs(d - limit) <= UNSURE
+                out.unsure += zip(ids[i[unsure]].tolist(), ids[j[unsure]].tolist(), strict=True)
+                sure = d < limit - UNSURE
+                out.add(i[sure], j[sure], copies)
+    return out
+
+
+COUNT, EDGE, PAIR = 0, 1, 2
+
+
+def _found(classes: DataFrame, threshold: float, split: int) -> DataFrame:
+    """(kind, a, b): COUNT rows say that a has b more links, EDGE rows connect what is linked, PAIR rows are to be verified.
+
+    `classes` has id (unique), label, n, v (little-endian doubles, finite, not all zero).
+    """
+    label = dict(classes.dtypes)["label"]
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            size = np.array([len(v) for v in whole.column(3).to_pylist()])
+            for k in np.unique(size):
+                b = whole.filter(pa.array(size == k))
+                v = _unit(_matrix(b.column(3), "<f8"))
+                y = np.ascontiguousarray(v @ rotation(v.shape[1]), "<f4")
+                cols = [*b.columns[:3], pa.array(np.full(len(y), v.shape[1], np.int32)), pa.array([r.tobytes() for r in y], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "label", "n", "dims", "y"])
+
+    def cells(level: int):
+        """Cells on the level's two coordinates of each block; of a row's own block after the first level."""
 
-    def enter(with_x: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                size = np.array([len(v) for v in whole.column(2).to_pylist()])
-                for n in np.unique(size):
-                    b = whole.filter(pa.array(size == n))
-                    ids = b.column(0).to_numpy(zero_copy_only=False)
-                    v = _vectors(b.column(2))
-                    scaled = v / np.abs(v).max(axis=1, keepdims=True)
-                    unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
-                    for at, key, home, x in cells(b.column(1).to_numpy(zero_copy_only=False), unit, threshold):
-                        if not with_x:
-                            yield pa.RecordBatch.from_arrays([pa.array(key)], ["key"])
+                group = np.array(whole.column(3)) * 1000 + np.array(whole.column(5))
+                for g in np.unique(group):
+                    b = whole.filter(pa.array(group == g))
+                    y, dims = _matrix(b.column(4), "<f4"), b.column(3)[0].as_py()
+                    key, role = np.array(b.column(6)), np.array(b.column(7))
+                    for k, (s, e, budget) in enumerate(blocks(dims, threshold)):
+                        if level and k != b.column(5)[0].as_py():
                             continue
-                        raw, wide = x.tobytes(), 4 * x.shape[1]
-                        budget = (2 - 2 * threshold) * x.shape[1] / unit.shape[1] + SLACK
-                        xs = pa.array([raw[k : k + wide] for k in range(0, len(raw), wide)], pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[at]), pa.array(home), xs, pa.array(np.full(len(at), budget))], ["key", "id", "home", "x", "budget"])
+                        x = y[:, s + 2 * level : min(e, s + 2 * level + 2)].astype(np.float64)
+                        for at, home, cell in visits(x, np.sqrt(budget)):
+                            c = b.take(pa.array(at))
+                            cols = [*c.columns[:5], pa.array(np.full(len(at), k, np.int32)), pa.array(_mix(key[at], *cell.T)), pa.array(np.where(home, role[at], VISITOR).astype(np.int32))]
+                            yield pa.RecordBatch.from_arrays(cols, names)
 
         return run
 
-    vectors = written(vectors, "vectors")
-    keys = vectors.select("id", "grp", "v").mapInArrow(enter(False), "key long")
-    big = written(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile), "cells")
-    rows = vectors.select("id", "grp", "v").mapInArrow(enter(True), "key long, id long, home boolean, x binary, budget double")
-    if big.isEmpty():
-        rows = rows.withColumn("t", F.lit(0).cast("long"))
-    else:
-        k = F.ceil(F.col("n") * 2 / tile)
-        own = F.pmod(F.xxhash64("id"), k)
-        both = F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda j: F.least(own, j) * k + F.greatest(own, j))
-        rows = rows.join(big, "key", "left").select("key", "id", "home", "x", "budget", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(both)).alias("t"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        a, b = _pairs_of(table, table.column("budget")[0].as_py())
-        return pa.table({"a": a, "b": b})
-
-    found = rows.groupBy("key", "t").applyInArrow(compare, "a long, b long").distinct()
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def linked(t: pa.Table) -> pa.Table:
+        ids = t.column("id").to_numpy()
+        got = compare(ids, _matrix(t.column("y"), "<f4"), t.column("n").to_numpy(), t.column("role").to_numpy(), t.column("block")[0].as_py(), threshold)
+        some, part = np.flatnonzero(got.degree), np.flatnonzero(got.label != np.arange(len(ids)))
+        pairs = np.array(got.unsure, np.int64).reshape(-1, 2)
+        kind = np.repeat(np.array([COUNT, EDGE, PAIR], np.int32), [len(some), len(part), len(pairs)])
+        a, b = np.concatenate([ids[some], ids[part], pairs[:, 0]]), np.concatenate([got.degree[some], ids[got.label[part]], pairs[:, 1]])
+        return pa.table({"kind": kind, "a": a, "b": b})
+
+    names = ["id", "label", "n", "dims", "y", "block", "key", "role"]
+    own = ["label", "dims", "block", "key"]
+    kinds = f"id long, label {label}, n long, dims int, y binary"
+    # Written: every row of a vector has the same rounding.
+    turned = written(classes.select("id", "label", "n", "v").mapInArrow(turn, kinds), "turned")
+    rows = turned.select("*", F.lit(-1).alias("block"), F.lit(0).cast("long").alias("key"), F.lit(BOTH).alias("role"))
+    ready, level = None, 0
+    while True:
+        big = written(rows.groupBy(*own).agg(F.count("*").alias("many")).where(F.col("many") > split), "big")
+        last = big.isEmpty()
+        small = (rows if last else rows.join(big.drop("many"), own, "left_anti").select(*names)).select("*", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
+        ready = small if ready is None else ready.union(small)
+        if last:
+            break
+        wide = rows.join(big, own)
+        if level == BLOCK // 2:
+            k = F.ceil(F.col("many") / split).cast("long")
+            tile, every = F.pmod(F.xxhash64("id"), k), F.explode(F.sequence(F.lit(0).cast("long"), k - 1))
+            homes = wide.where(F.col("role") >= BOTH).select(*names[:-1], F.lit(HOME).alias("role"), tile.alias("i"), every.alias("j"))
+            ready = ready.union(homes).union(wide.select(*names[:-1], F.lit(VISITOR).alias("role"), every.alias("i"), tile.alias("j")).select(*names, "i", "j"))
+            break
+        rows = written(wide.select(*names).mapInArrow(cells(level), f"{kinds}, block int, key long, role int"), "cells")
+        level += 1
+    return ready.groupBy(*own, "i", "j").applyInArrow(linked, "kind int, a long, b long")
+
+
+def _verify(threshold: float):
+    """The pairs of rows (a, b, v1, v2) whose cosine is the threshold at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for s in range(0, whole.num_rows, 4096):
                 part = whole.slice(s, 4096)
                 size = np.array([len(v) for v in part.column(2).to_pylist()])
                 for n in np.unique(size):
                     r = part.filter(pa.array(size == n))
-                    x, y = _vectors(r.column(2)), _vectors(r.column(3))
-                    # Scaled first, so that no square overflows or vanishes.
+                    x, y = _matrix(r.column(2), "<f8"), _matrix(r.column(3), "<f8")
                     x, y = x / np.abs(x).max(axis=1, keepdims=True), y / np.abs(y).max(axis=1, keepdims=True)
                     cos = (x * y).sum(axis=1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
                     yield pa.RecordBatch.from_arrays([c.filter(pa.array(cos >= threshold)) for c in r.columns[:2]], ["a", "b"])
 
-    one = vectors.select(F.col("id").alias("a"), F.col("grp").alias("g1"), F.col("v").alias("v1"))
-    two = vectors.select(F.col("id").alias("b"), F.col("grp").alias("g2"), F.col("v").alias("v2"))
-    same = found.join(one, "a").join(two, "b").where("g1 = g2 and octet_length(v1) = octet_length(v2)")
-    return same.select("a", "b", "v1", "v2").mapInArrow(verify, "a long, b long")
+    return run
 
 
-def groups(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", tile: int = TILE) -> DataFrame:
+def groups(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", split: int = SPLIT) -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept.
 
     Only rows with the same label, not null, are compared. Vectors that are
     null, empty, zero or hold null or non-finite components link with nothing,
     and so do rows without an id (their component_id is null); vectors of
     different lengths never link. Equal vectors are compared as one and count
-    as linked with each other. Rows that repeat an id stand for one vector.
+    as linked with each other. Rows that repeat an id stand for one vector, the
+    one with the smallest label and then the smallest bytes. Other columns are
+    left out. An empty table gives an empty result.
     """
-    v = F.col(vector_col).cast("array<double>")
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold has to be a positive cosine")
     label = F.col(label_col) if label_col else F.lit(0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.xxhash64(label).alias("grp"), label.isNotNull().alias("labelled"), v.alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), label.alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    kind = dict(rows.dtypes)["label"]
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,26 +306,32 @@ def groups(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id",
                 x = np.array([np.nan if c is None else c for c in x.as_py()], "<f8") if x.values.null_count else x.values.to_numpy(zero_copy_only=False).astype("<f8")
                 out.append((x + 0.0).tobytes() if len(x) and np.isfinite(x).all() and x.any() else None)
             raw = pa.array(out, pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), raw], ["vec_id", "grp", "v"]).filter(raw.is_valid())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), raw], ["vec_id", "label", "v"]).filter(raw.is_valid())
 
-    usable = rows.where("vec_id is not null and labelled and v is not null").select("vec_id", "grp", "v")
-    usable = usable.mapInArrow(plain, "vec_id long, grp long, v binary").dropDuplicates(["vec_id"])
+    usable = rows.where("vec_id is not null and label is not null and v is not null").mapInArrow(plain, f"vec_id long, label {kind}, v binary")
+    usable = usable.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("x")).select("vec_id", "x.label", "x.v")
     usable = written(usable, "usable")
-    classes = written(usable.groupBy("grp", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "classes")
-    found = written(links(classes.select("id", "grp", "v"), threshold, tile), "links")
-    both = found.union(found.select("b", "a")).toDF("id", "other")
-    sizes = classes.select(F.col("id").alias("other"), "n")
-    degree = both.join(sizes, "other").groupBy("id").agg(F.sum("n").alias("more"))
-    root = components(found)
-    known = classes.join(degree, "id", "left").join(root, F.col("id") == F.col("node"), "left")
-    known = known.select("grp", "v", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    mine = usable.join(written(known, "known"), ["grp", "v"]).select("vec_id", "n_links", "component_id")
+    classes = written(usable.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "classes")
+    found = written(_found(classes, threshold, split), "found")
+
+    one = classes.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("v").alias("v1"))
+    two = classes.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("v").alias("v2"))
+    unsure = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
+    sure = written(unsure.join(one, "a").join(two, "b").select("a", "b", "v1", "v2").mapInArrow(_verify(threshold), "a long, b long"), "verified")
+    more = sure.join(two.drop("v2"), "b").select("a", F.col("n2").alias("k")).union(sure.join(one.drop("v1"), "a").select("b", F.col("n1").alias("k")))
+    degree = found.where(F.col("kind") == COUNT).select("a", F.col("b").alias("k")).union(more).groupBy("a").agg(F.sum("k").alias("more"))
+    root = components(found.where(F.col("kind") == EDGE).select("a", "b").union(sure))
+    known = classes.join(degree, F.col("id") == F.col("a"), "left").join(root, F.col("id") == F.col("node"), "left")
+    known = known.select("label", "v", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    mine = written(usable.join(written(known, "known"), ["label", "v"]).select("vec_id", "n_links", "component_id"), "mine")
+    superseded(usable, found)
     out = rows.select("vec_id").join(mine, "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def dedup(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label") -> DataFrame:
-    """The rows that have the smallest id of their group, with all their columns; rows without an id stay."""
-    gone = groups(vectors, threshold, id_col, vector_col, label_col).where("not kept").select(F.col("vec_id").alias("__gone"))
-    return vectors.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The rows that have the smallest id of their group, with all their columns, whatever their names; rows without an id stay."""
+    (name,) = free_names(vectors, "gone")
+    gone = groups(vectors, threshold, id_col, vector_col, label_col).where("not kept").select(F.col("vec_id").alias(name)).distinct()
+    return vectors.join(written(gone, "gone"), F.col(id_col) == F.col(name), "left_anti")
