@@ -337,8 +337,8 @@ def scorer(spark, model: Model):
     @F.arrow_udf(SCORE)
     def run(text: pa.Array) -> pa.Array:
         scores, spans = [], []
-        for s in range(0, len(text), 1024):
-            a, b = held.value.score([t or "" for t in text.slice(s, 1024).to_pylist()])
+        for s in range(0, len(text), 256):
+            a, b = held.value.score([t or "" for t in text.slice(s, 256).to_pylist()])
             scores.append(a)
             spans += b
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
