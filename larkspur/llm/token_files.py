@@ -86,8 +86,8 @@ def ranks_of(tokens: DataFrame) -> DataFrame:
 def write(tokens: DataFrame, folder: str) -> None:
     """Writes a token table as files in ascending doc_id order, and deletes it if it is a written step.
 
-    Rows that repeat an id are ordered by their codes, so that the files don't
-    depend on the order of the input; null ids come first.
+    Rows that repeat an id are ordered by a hash of their codes, so that the
+    files don't depend on the order of the input; null ids come first.
     """
     spark = tokens.sparkSession
     ranks = ranks_of(tokens)
@@ -141,7 +141,8 @@ def write(tokens: DataFrame, folder: str) -> None:
     # Written, since a range partitioning reads its input twice.
     packed = written(tokens.select("doc_id", "ids", "n").mapInArrow(pack, "doc_id long, n long, control binary, data binary"), "packed")
     superseded(tokens)
-    ordered = packed.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "n", "control", "data")
+    # Rows of one id, or of none, lie in the order of a hash, over as many files as they fill.
+    ordered = packed.withColumn("h", F.xxhash64("control", "data")).repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     # The text sink writes the bytes of a string column as they are, one block and "\n" a row.
     ordered.mapInArrow(blocks, "value binary").select(F.col("value").cast("string")).write.text(f"{folder}/blocks", lineSep="\n")
     superseded(packed)
