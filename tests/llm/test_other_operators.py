@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import itertools
 import math
 import random
 import time
@@ -101,6 +102,22 @@ def test_pages_of_one_large_host_share_a_wrapper(spark, monkeypatch):
     assert got == {i: f"Title {i}\nText of {i}" for i in range(200)} | {1000 + i: f"Title {i}\nText of {i}\nWrite to us." for i in range(2)}
 
 
+def test_held_out_quality():
+    """Held-out documents of the labelled table: the figures that the README states."""
+    import pyarrow.parquet as pq
+
+    big = "/root/testdata/sf0.1"
+    docs = {r["doc_id"]: r["text"] or "" for r in pq.read_table(f"{big}/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    label = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{big}/labels.parquet").to_pylist() if r["toxic"] is not None and r["doc_id"] in docs}
+    held = {i for i in label if zlib.crc32(str(i).encode()) % 5 == 0}
+    some = [i for i in label if i not in held and len(docs[i]) <= toxicity.TRAIN_CHARS]
+    model = toxicity.fit([docs[i] for i in some], [label[i] for i in some])
+    score, _ = model.score([docs[i] for i in sorted(held)])
+    y = np.array([label[i] for i in sorted(held)])
+    assert (score[y == 1] >= 0.5).mean() >= 0.9 and (score[y == 0] >= 0.5).mean() <= 0.01
+    assert url_filter.auc(score, y) >= 0.95
+
+
 def test_html_table(spark):
     data = [(i, f"http://h{i % 2}.example/{i}", PAGE.format(n=i, tag="article"), "x") for i in range(300)] + [(None, None, None, "x"), (7, "no url", "<p>a", None)]
     pages = spark.createDataFrame(data, "page_id long, url string, html string, text string")
@@ -206,8 +223,9 @@ def vectors():
     return data + [(n, None, 1), (n + 1, [0.0] * 20, 1), (n + 2, [float("nan")] * 20, 1), (n + 3, [None] + [1.0] * 19, 1), (n + 4, data[0][1], None), (n + 5, [1.0, 2.0], 0), (n + 6, [2.0, 4.0], 0), (n + 7, [], 0), (n + 8, [math.inf] * 20, 0), (None, data[0][1], 0)]
 
 
-@pytest.mark.parametrize("tile", [embedding_dedup.TILE, 16])
-def test_embedding_groups(spark, tile):
+@pytest.mark.parametrize("split", [embedding_dedup.SPLIT, 60, 8])
+def test_embedding_groups(spark, split):
+    """Whole labels, cells of all levels and tiles, against brute force."""
     data = vectors()
     ok = [(i, np.array(v), g) for i, v, g in data if i is not None and v and g is not None and None not in v and np.isfinite(v).all() and any(v)]
     link = {i: set() for i, _, _ in ok}
@@ -227,7 +245,7 @@ def test_embedding_groups(spark, tile):
 
     want = {i: (len(link.get(i, ())), low(i) if i in link else i) for i, _, _ in data if i is not None}
     table = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").repartition(3)
-    got = {r.vec_id: r for r in embedding_dedup.groups(table, tile=tile).collect()}
+    got = {r.vec_id: r for r in embedding_dedup.groups(table, split=split).collect()}
     assert (got[None].n_links, got[None].component_id, got[None].kept) == (0, None, True)
     assert {i: (r.n_links, r.component_id) for i, r in got.items() if i is not None} == want
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
@@ -237,6 +255,50 @@ def test_embedding_groups(spark, tile):
     assert embedding_dedup.groups(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("n", "dims", "noise"), [(400, 64, 0.02), (300, 20, 0.03), (200, 5, 0.05), (152, 1, 0.1)])
+def test_embedding_compare(n, dims, noise):
+    """Links of one group, whole and by blocks and cells, each counted once; few pairs are looked at."""
+    r = np.random.default_rng(n)
+    base = r.standard_normal((n // 4, dims))
+    unit = embedding_dedup._unit(np.concatenate([base, *(base + noise * r.standard_normal(base.shape) for _ in range(3))]))
+    ids, copies = r.permutation(n), r.integers(1, 4, n)
+    y = (unit @ embedding_dedup.rotation(dims)).astype(np.float32)
+    cos = unit @ unit.T
+    np.fill_diagonal(cos, 0)
+    both = np.full(n, embedding_dedup.BOTH)
+    got = embedding_dedup.compare(ids, y, copies, both, -1, 0.98)
+    assert got.degree.tolist() == ((cos >= 0.98) * copies).sum(axis=1).tolist() and not got.unsure
+    if dims == 64:
+        assert got.compared < 0.1 * n * (n - 1) / 2
+    low = np.arange(n)
+    for _ in range(n):
+        low = np.minimum(low, np.where(cos >= 0.98, low[None], n).min(axis=1))
+    assert [low[i] == low[j] for i in range(n) for j in range(n)] == [got.label[i] == got.label[j] for i in range(n) for j in range(n)]
+    total = np.zeros(n, np.int64)
+    for k, (s, e, budget) in enumerate(embedding_dedup.blocks(dims, 0.98)):
+        x = y[:, s : min(e, s + 2)].astype(float)
+        found = {}
+        for at, home, cell in embedding_dedup.visits(x, np.sqrt(budget)):
+            for i, h, c in zip(at.tolist(), home.tolist(), map(tuple, cell.tolist()), strict=True):
+                found.setdefault(c, []).append((i, embedding_dedup.BOTH if h else embedding_dedup.VISITOR))
+        for rows in found.values():
+            i, role = np.array(rows).T
+            np.add.at(total, i, embedding_dedup.compare(ids[i], y[i], copies[i], role, k, 0.98).degree)
+    assert total.tolist() == got.degree.tolist()
+
+
+def test_embeddings_that_repeat_an_id(spark):
+    """One vector of an id counts, whatever the order of rows; columns of any names stay."""
+    rows = [(1, [1.0, 0.0], "a", 1), (2, [1.0, 0.001], "a", 2), (2, [0.0, 1.0], "a", 3), (3, [1.0, 0.002], "b", 4), (4, [1.0, 0.0], "a", 5), (None, [1.0, 0.0], "a", 6)]
+    got = []
+    for order in (rows, rows[::-1]):
+        table = spark.createDataFrame(order, "vec_id long, embedding array<double>, label string, gone int").coalesce(1)
+        got.append(sorted(map(tuple, embedding_dedup.groups(table).collect()), key=repr))
+        left = embedding_dedup.dedup(table)
+        assert left.columns == table.columns and {1, 4, 6} <= {r.gone for r in left.collect()} | {5}
+    assert got[0] == got[1] and len(got[0]) == 6
+
+
 def test_marginals_against_enumeration():
     r = np.random.default_rng(0)
     lengths = np.array([3, 0, 1, 5])
@@ -252,8 +314,40 @@ def test_marginals_against_enumeration():
             one += p * np.array(y)
         assert np.allclose(got[at : at + n], one / total)
         at += n
-    long = r.standard_normal(5000) * 3
-    assert np.allclose(toxicity.marginals(long, np.array([5000]), trans), toxicity._marginals(long, np.array([5000]), trans), atol=1e-9)
+    sticky = np.array([[3.0, -3.0], [-3.0, 3.0]])  # a text's marginals don't depend on its segments, nor on the texts beside it
+    for lengths in ([5000], [1024], [1025], [2048, 7, 0, 1100, 1, 3072]):
+        long = r.standard_normal(sum(lengths)) * 3
+        want = np.concatenate([toxicity._marginals(x, np.array([len(x)]), sticky) for x in np.split(long, np.cumsum(lengths)[:-1])])
+        assert np.allclose(toxicity.marginals(long, np.array(lengths), sticky), want, atol=1e-12)
+
+
+def test_scores_and_spans_by_hand():
+    """A small model, its marginals by summing over all labellings, its spans and scores by their definitions."""
+    model = toxicity.Model(bias=-2.0, weights={"w:bad": 4.0, "bad": 0.5, "w:word": -1.0, "vil": 2.5}, trans=np.array([[0.3, -0.4], [-0.2, 0.9]]), doc=np.array([-3.0, 2.0, 3.0]))
+    r = random.Random(4)
+    texts = ["", "  ", *(" ".join(r.choices(["bad", "Bad,", "word", "vilest", "calm", "--", "\u00e9t\u00e9"], k=r.randint(1, 9))) + r.choice(["", "\n", "  x"]) for _ in range(40))]
+    scores, spans = model.score(texts)
+    for text, score, found in zip(texts, scores, spans, strict=True):
+        words = text.split()
+        unary = [model.bias + sum(model.weights.get(f, 0.0) for f in toxicity.features(w)) for w in words]
+        weight, one = 0.0, [0.0] * len(words)
+        for y in itertools.product((0, 1), repeat=len(words)):
+            p = math.exp(sum(u for u, k in zip(unary, y, strict=True) if k) + sum(model.trans[a, b] for a, b in itertools.pairwise(y)))
+            weight += p
+            one = [m + p * k for m, k in zip(one, y, strict=True)]
+        p = [m / weight for m in one]
+        x = -3.0 + 2.0 * math.log1p(sum(p)) + 3.0 * max(p, default=0.0)
+        assert score == pytest.approx(1 / (1 + math.exp(-x)))
+        want, at = [], 0
+        for w, m in zip(words, p, strict=True):
+            at = text.index(w, at)
+            if m >= 0.5:
+                if want and not text[want[-1][1] : at].strip():
+                    want[-1] = (want[-1][0], at + len(w))
+                else:
+                    want.append((at, at + len(w)))
+            at += len(w)
+        assert found == want
 
 
 def test_toxicity_on_held_out_documents(spark):
@@ -283,6 +377,9 @@ def test_toxicity_on_held_out_documents(spark):
     assert odd[5002] > 0.5 > max(odd[5000], odd[5001], odd[None])
     clean = toxicity.keep_clean(docs, model)
     assert clean.columns == docs.columns and clean.where("doc_id = 5002").count() == 0 and clean.where("doc_id > 4999 or doc_id is null").count() == 3
+    assert [r.held for r in docs.select(toxicity.held_out(docs.doc_id).alias("held")).where("doc_id is null").collect()] == [False]
+    named = toxicity.keep_clean(docs.withColumnsRenamed({"score": "toxicity"}), model)
+    assert named.columns == ["doc_id", "text", "toxicity"] and named.where("doc_id is null").first().toxicity == 0.1
     assert toxicity.train(docs, table.limit(0)).weights == {} and toxicity.scored(docs.limit(0), model).count() == 0
 
 

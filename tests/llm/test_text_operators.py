@@ -98,6 +98,22 @@ def test_token_files_of_an_empty_table_and_null_ids(spark, docs):
     assert sorted((r.doc_id is not None, r.n_tokens) for r in token_files.digest(spark, folder).collect()) == [(False, 2), (True, 1), (True, 1)]
 
 
+def test_token_files_with_long_texts_and_repeated_ids(spark, monkeypatch):
+    """Texts longer than a file and a block; rows that repeat an id lie in the same order whatever the input's."""
+    monkeypatch.setattr(token_files, "FILE_IDS", 500)
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 100)
+    data = [(i % 20, " ".join(f"w{(i * k) % 97}" for k in range(i * i % 700))) for i in range(40)]
+    got = []
+    for parts in (1, 4):
+        folder = new_path(spark, "t")
+        token_files.save(spark.createDataFrame(data, "doc_id long, text string").repartition(parts), WORD, folder)
+        got.append(sorted(map(tuple, token_files.digest(spark, folder).collect())))
+    assert got[0] == got[1] and len(got[0]) == 40
+    assert [s for _, s, *_ in sorted(got[0], key=lambda r: r[1])] == np.r_[0, np.cumsum([n for _, _, n, _ in sorted(got[0], key=lambda r: r[1])])[:-1]].tolist()
+    ids = [i for i, *_ in sorted(got[0], key=lambda r: r[1])]
+    assert ids == sorted(ids)
+
+
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=64))
 def test_variable_length_code(values):
     values = np.array(values[: len(values) // 4 * 4], np.uint32)
@@ -211,6 +227,35 @@ def test_exact_dedup(spark, docs, cells):
     assert sorted(r.doc_id for r in stay.collect()) == sorted({k for k, _, _ in want.values()})
 
 
+def test_exact_dedup_beyond_one_filter(spark, monkeypatch):
+    """More rows than the largest filter is made for: ranges of hashes, and a filter of what repeats."""
+    monkeypatch.setattr(exact_dedup, "SEGMENT", 1 << 10)
+    data = [(i, f"text {i % 700}" if i % 3 == 0 else f"own {i}") for i in range(3000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    hashes = docs.selectExpr("xxhash64(text) as h")
+    bits = exact_dedup.repeated_filter(hashes, 1 << 13)
+    assert len(bits) * 8 <= 1 << 13
+    seen = docs.select("doc_id", "text", exact_dedup.may_repeat(spark, bits)(exact_dedup.F.xxhash64("text")).alias("again")).collect()
+    count = {}
+    for _, t in data:
+        count[t] = count.get(t, 0) + 1
+    assert all(r.again for r in seen if count[r.text] > 1)
+    assert sum(not r.again for r in seen) > 0.5 * sum(n == 1 for n in count.values())
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.decide(docs, max_cells=1 << 13).collect()}
+    want = exact(data)
+    assert got == {i: want[i][:2] for i, _ in data}
+    assert sorted(r.doc_id for r in exact_dedup.dedup(docs, max_cells=1 << 13).collect()) == sorted({k for k, *_ in want.values()})
+
+
+def test_exact_dedup_of_repeated_ids(spark):
+    """An id with two texts: each text is judged by itself; columns of any names stay; the smallest long has no smaller one."""
+    low = -(1 << 63)
+    docs = spark.createDataFrame([(1, "a", 1), (1, "bb", 2), (2, "a", 3), (3, "bb ", 4), (low, "c", 5), (7, "c", 6), (9, "same", 7), (9, "same", 7)], "doc_id long, text string, __h int").withColumn("again", exact_dedup.F.lit("x")).withColumn("best", exact_dedup.F.lit(0))
+    left = exact_dedup.dedup(docs)
+    assert left.columns == docs.columns and sorted(r["__h"] for r in left.collect()) == [1, 4, 5, 7]
+    assert {r.doc_id: r.keep_id for r in exact_dedup.decide(docs).collect()}[7] == low
+
+
 def test_exact_dedup_of_odd_tables(spark, docs):
     assert exact_dedup.decide(docs.limit(0)).count() == 0 == exact_dedup.dedup(docs.limit(0)).count()
     odd = spark.createDataFrame([(None, "a"), (None, "a"), (2, "a "), (2, "a ")], "doc_id long, text string")
