@@ -16,9 +16,9 @@ class ShortestPaths:
     def __init__(self, graph: PropertyGraph, expander: Expander = Expander(), sources: DataFrame | None = None) -> None:
         self.graph, self.expander = graph, expander
         start = graph.nodes.select("id") if sources is None else sources
-        dist = settled(paths.hop_distances(graph, start, expander), "dist")
-        self.counts = settled(paths.path_counts(graph, dist, expander), "counts")
+        dist = paths.hop_distances(graph, start, expander)
         self.dag = settled(paths.predecessors(graph, dist, expander).select("source", "node", "pred"), "dag")
+        self.counts = settled(paths.path_counts(graph, dist, expander, self.dag), "counts")
         both = expander.direction is BOTH and not expander.types or bool(expander.types) and all(d is BOTH for _, d in expander.types)
         self.half = 0.5 if both else 1.0
         self.top = self.counts.agg(F.max("dist")).first()[0] or 0

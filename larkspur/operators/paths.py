@@ -5,6 +5,7 @@ Paths are rows (start, end, length, nodes, rels), cheapest ones with weight.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -66,7 +67,9 @@ def exact_depth(graph: PropertyGraph, start: int, end: int, expander: Expander,
 def hop_distances(graph: PropertyGraph, sources: DataFrame, expander: Expander, max_depth: int | None = None, target: DataFrame | None = None) -> DataFrame:
     """(source, node, dist) of every node that each source (column id) reaches, level by level; with `target` (column node) not beyond its level."""
     got = reach(graph.adjacency(expander), sources, max_depth, target)
-    return got.select(F.col("root").alias("source"), "node", F.col("depth").alias("dist"))
+    out = got.select(F.col("root").alias("source"), "node", F.col("depth").alias("dist"))
+    out._step = got._step
+    return out
 
 
 def _back(graph: PropertyGraph, dist: DataFrame, ends: DataFrame, expander: Expander, cost: Column | None) -> DataFrame:
@@ -93,7 +96,7 @@ def shortest_paths(graph: PropertyGraph, start: int, end: int, expander: Expande
     return _back(graph, hop_distances(graph, _start(graph, start), expander, max_depth, goal), goal, expander, None)
 
 
-def distances(graph: PropertyGraph, sources: DataFrame, cost: Column, expander: Expander, max_cost: float | None = None, target: int | None = None, estimate: Column | None = None, max_depth: int | None = None) -> DataFrame:
+def distances(graph: PropertyGraph, sources: DataFrame, cost: Column, expander: Expander, max_cost: float | None = None, target: int | None = None, estimate: Column | None = None, max_depth: int | None = None, accumulate: Callable[[Column, Column], Column] = lambda a, b: a + b) -> DataFrame:
     """(source, node, dist): least sums of `cost`, a column of the relationships that must not be negative.
 
     Each round relaxes the relationships of the nodes that got cheaper in the
@@ -101,7 +104,9 @@ def distances(graph: PropertyGraph, sources: DataFrame, cost: Column, expander:
     `estimate` of what is left (a column of nodes, never too high), is less than
     the least cost of the target that is known by then; distances of nodes that
     cannot lie on a cheapest path to it may then be missing or too high.
-    `max_depth` bounds the relationships of a path.
+    `max_depth` bounds the relationships of a path. `accumulate` joins the cost
+    so far and that of a relationship, by default their sum; it must never give
+    less than the cost so far (F.greatest: the dearest relationship of a path).
     """
     g = PropertyGraph(graph.nodes, graph.edges.withColumn("w", cost.cast("double")))
     if not g.edges.where("w < 0 or w is null").isEmpty():
@@ -109,12 +114,17 @@ def distances(graph: PropertyGraph, sources: DataFrame, cost: Column, expander:
     adj = keyed(g.adjacency(expander, keep=["w"]).groupBy("frm", "to").agg(F.min("w").alias("w")), "frm", "adjacency")
     left = graph.nodes.select(F.col("id").alias("node"), F.greatest(F.lit(0.0), estimate.cast("double")).alias("left")) if estimate is not None else None
     dist = settled(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("dist")).distinct(), "dist")
+    # Where few relationships leave any node, a round relaxes several in a row.
+    stride = 4 if max_depth is None and (adj.groupBy("frm").count().agg(F.max("count")).first()[0] or 0) <= 2 else 1
     tip, rounds = dist, 0
     while max_depth is None or rounds < max_depth:
         rounds += 1
-        new = tip.join(adj, F.col("node") == F.col("frm")).groupBy("source", F.col("to").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
-        if max_cost is not None:
-            new = new.where(F.col("new") <= max_cost)
+        step, found = tip, []
+        for _ in range(stride):
+            step = step.join(adj, F.col("node") == F.col("frm")).select("source", F.col("to").alias("node"), accumulate(F.col("dist"), F.col("w")).alias("dist"))
+            step = step if max_cost is None else step.where(F.col("dist") <= max_cost)
+            found.append(step)
+        new = reduce(DataFrame.union, found).groupBy("source", "node").agg(F.min("dist").alias("new"))
         both = settled(dist.join(new, ["source", "node"], "full_outer").select("source", "node", F.least("dist", "new").alias("dist"), (F.col("dist").isNull() | (F.col("new") < F.col("dist"))).alias("better")), "dist")
         superseded(dist)
         dist = both.select("source", "node", "dist")
@@ -175,10 +185,10 @@ def predecessors(graph: PropertyGraph, dist: DataFrame, expander: Expander, cost
     return adj.join(d1, "frm").join(d2, ["source", "to"]).where(close & (F.col("to") != F.col("source"))).select("source", F.col("to").alias("node"), F.col("frm").alias("pred"), "eid")
 
 
-def path_counts(graph: PropertyGraph, dist: DataFrame, expander: Expander) -> DataFrame:
-    """(source, node, dist, paths): how many shortest paths lead to each node. `dist` comes from hop_distances."""
-    dist = settled(dist, "dist")
-    dag = settled(predecessors(graph, dist, expander).select("source", "node", "pred"), "dag")
+def path_counts(graph: PropertyGraph, dist: DataFrame, expander: Expander, dag: DataFrame | None = None) -> DataFrame:
+    """(source, node, dist, paths): how many shortest paths lead to each node. `dist` comes from hop_distances, `dag` from predecessors."""
+    dist = dist if hasattr(dist, "_step") else settled(dist, "dist")
+    dag = settled(predecessors(graph, dist, expander).select("source", "node", "pred"), "dag") if dag is None else dag
     top = dist.agg(F.max("dist")).first()[0] or 0
     levels = [dist.where("dist = 0").select("source", "node", "dist", F.lit(1).cast("long").alias("paths"))]
     for k in range(1, top + 1):

@@ -79,7 +79,9 @@ def reach(adjacency: DataFrame, starts: DataFrame, max_depth: int | None = None,
         if new.where(F.col("depth") == depth).isEmpty():
             break
     superseded(adj)
-    return levels.all()
+    out = levels.all()
+    out._step = levels.path
+    return out
 
 
 @dataclass(frozen=True)
@@ -211,6 +213,7 @@ class Traversal:
             out = self._best(graph, starts, adj)
         else:
             out = self._by_level(graph, starts, adj)
+        superseded(adj)
         for f in self.filters:
             out = out.where(f)
         return out

@@ -58,17 +58,30 @@ def settled(df: DataFrame, name: str = "step") -> DataFrame:
 def superseded(*steps: DataFrame | None) -> None:
     """Deletes the files of steps that nothing reads any more."""
     for df in steps:
-        path = getattr(df, "_step", None)
-        if path:
+        if table := getattr(df, "_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+        if path := getattr(df, "_step", None):
             remove(df.sparkSession, path)
 
 
 def keyed(df: DataFrame, key: str, name: str = "keyed") -> DataFrame:
-    """Writes a frame bucketed by a column into the shared folder: joins on that column only shuffle their other side."""
+    """Writes a frame bucketed by a column into the shared folder: joins on that column only shuffle their other side.
+
+    The buckets need a name in the catalog, which goes with superseded() or when
+    the driver ends.
+    """
     spark = df.sparkSession
     path, n = new_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"larkspur_{uuid.uuid4().hex}"
     df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(table)
     out = spark.table(table)
-    out._step = path
+    out._step, out._table = path, table
+
+    def drop() -> None:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        except Exception:  # the session may be gone at interpreter exit
+            pass
+
+    atexit.register(drop)
     return out

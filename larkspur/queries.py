@@ -501,6 +501,12 @@ def cheapest_costs(spark, d):
     return paths.distances(tables.ring(spark, d), ids(spark, 0), F.col("cost"), RING_OUT).select("node", "dist")
 
 
+@query(f"WITH RECURSIVE {RING}{DIRECTED}, c AS (SELECT 0::BIGINT AS node, 0::BIGINT AS dist UNION SELECT \"to\", greatest(dist, cost) FROM c JOIN adj ON frm = node) SELECT node, min(dist)::DOUBLE AS dist FROM c GROUP BY node")
+def bottleneck_costs(spark, d):
+    """Costs that are not summed: the dearest relationship of the way where it is cheapest."""
+    return paths.distances(tables.ring(spark, d), ids(spark, 0), F.col("cost"), RING_OUT, accumulate=F.greatest).select("node", "dist")
+
+
 @query(f"WITH RECURSIVE {RING}{DIRECTED}, {COSTS.format(k=15)} SELECT node, dist::DOUBLE AS dist FROM best")
 def cheapest_costs_within(spark, d):
     return paths.distances(tables.ring(spark, d), ids(spark, 0), F.col("cost"), RING_OUT, 15).select("node", "dist")
@@ -531,6 +537,19 @@ def a_star(spark, d):
     return got.select("length", text("nodes").alias("nodes"), text("rels").alias("rels"), "weight")
 
 
+@query("""WITH RECURSIVE n AS (SELECT n_nationkey AS k, radians(n_nationkey * 3.0) AS la, radians(n_nationkey * 7.0) AS lo FROM nation),
+  e AS (SELECT a.k AS a, b.k AS b, 6371.0 * sqrt(pow(cos(a.la) * cos(a.lo) - cos(b.la) * cos(b.lo), 2) + pow(cos(a.la) * sin(a.lo) - cos(b.la) * sin(b.lo), 2) + pow(sin(a.la) - sin(b.la), 2)) AS c FROM n a JOIN n b ON b.k - a.k IN (1, 3)),
+  p AS (SELECT 0 AS k, 0.0::DOUBLE AS w, [0] AS nodes UNION ALL SELECT b, w + c, list_append(nodes, b::INTEGER) FROM p JOIN e ON a = p.k)
+  SELECT round(w, 5) AS weight, array_to_string(nodes, '-') AS nodes FROM p WHERE k = 23 ORDER BY p.w LIMIT 1""")
+def a_star_geo(spark, d):
+    """Costs are distances in km, and so is the estimate of what is left."""
+    n = tables.table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.lit("nation").alias("label"), (F.col("n_nationkey") * 3.0).alias("lat"), (F.col("n_nationkey") * 7.0).alias("lon"))
+    far = n.select(F.col("id").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    e = n.join(far, (F.col("dst") - F.col("id")).isin(1, 3)).select((F.col("id") * 100 + F.col("dst")).alias("eid"), F.col("id").alias("src"), "dst", F.lit("LEG").alias("type"), P.chord_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("km"))
+    g = PropertyGraph(n, e)
+    return paths.a_star(g, 0, 23, F.col("km"), RING_OUT, paths.geo_estimate(g, 23) - 1e-6).select(F.round("weight", 5).alias("weight"), text("nodes").alias("nodes"))
+
+
 @query(f"WITH RECURSIVE {RING}{DIRECTED}, {ALL_COSTS}, {CHEAP} SELECT DISTINCT unnest(nodes) AS node, w::DOUBLE AS weight FROM p WHERE node = 31")
 def cheapest_between(spark, d):
     return paths.cheapest_between(tables.ring(spark, d), 0, 31, F.col("cost"), RING_OUT)
