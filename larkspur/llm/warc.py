@@ -22,11 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
+from .exact_dedup import may_repeat, repeated_filter
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 SPLIT_BYTES, CHUNK = 32 << 20, 1 << 20
+#: Revisits, of some 60 bytes each, that are sent to every writing task; more are joined.
+FEW_REVISITS = 200_000
 #: Beyond so many ranges a reading task gets several.
 MAX_TASKS = 100_000
 SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, path string, offset long"
@@ -85,7 +88,7 @@ def parse(data: bytes) -> dict:
     }
 
 
-def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> None:
+def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, few_revisits: int = FEW_REVISITS) -> None:
     """Writes a record for every row into *.warc.gz files of a folder; a null html is an empty payload.
 
     Payloads of at least `min_bytes` that are equal are stored once, as the
@@ -102,8 +105,19 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     # Ids of a payload are made distinct before they meet its first id, so that a frequent payload is many keys; the join after that can be split.
     own = keys.groupBy("sha", "page_id").agg(F.count("*").alias("n")).select("sha", "page_id")
     again = own.join(written(first.select("sha", "refers_to"), "first"), "sha").where("not page_id <=> refers_to").select(F.col("page_id").alias("p"), F.col("sha").alias("s"), "refers_to")
-    again = written(again, "revisits")  # its size decides how it is joined
-    both = rows.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left").select("page_id", "url", "payload", "refers_to")
+    again = written(again, "revisits")
+
+    def revisits(part: DataFrame, few: bool) -> DataFrame:
+        on = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s"))
+        return part.join(F.broadcast(again) if few else again, on, "left").select("page_id", "url", "payload", "refers_to")
+
+    if again.count() <= few_revisits:  # checked, so that they can be sent to every task and no payload moves
+        both = revisits(rows, True)
+    else:  # payloads that surely don't repeat stay where they are; only the others move
+        look = may_repeat(spark, repeated_filter(keys.select(F.xxhash64("sha").alias("h"))))
+        flagged = rows.withColumn("maybe", look(F.xxhash64("sha")))
+        alone = flagged.where("not maybe").select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"))
+        both = alone.union(revisits(flagged.where("maybe").drop("maybe"), False))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
