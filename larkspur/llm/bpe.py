@@ -56,7 +56,9 @@ def decode(ids: np.ndarray, enc) -> bytes:
 def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(doc_id, ids binary of little-endian uint32, decoded binary) of every row, or with `digests` their sizes and SHA-256.
 
-    A null text is empty: no ids. An empty table gives an empty result.
+    A null text is empty: no ids. Rows that repeat an id, or have none, are rows
+    of their own; other columns are left out. Texts may be of any length; one
+    without white space is encoded whole. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -159,7 +159,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     """One row per document: doc_id, fp, component_id (smallest doc_id reachable over links).
 
     Equal fingerprints are linked. A row without an id is its own group, with
-    a null component_id. An empty table gives an empty result.
+    a null component_id. Rows that repeat an id have a row each; other columns
+    are left out. Texts may be of any length. An empty table gives an empty result.
     """
     docs_fp = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
     known = docs_fp.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("low"))

@@ -349,7 +349,11 @@ def scorer(spark, model: Model):
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, spans of every row, whole texts. Empty texts get the score of a text without toxic words."""
+    """doc_id, score, spans of every row, whole texts.
+
+    Null and empty texts get the score of a text without toxic words. Rows that
+    repeat an id, or have none, are scored each; other columns are left out.
+    """
     got = scorer(docs.sparkSession, model)(F.col(text_col))
     return docs.select(F.col(id_col).alias("doc_id"), got.alias("r")).select("doc_id", "r.score", "r.spans")
 

@@ -172,11 +172,11 @@ def pages_table(spark):
     return data, spark.createDataFrame(data, "page_id long, url string, html string, offset int").repartition(3)
 
 
-@pytest.mark.parametrize("split", [97, 1000, 1 << 20])
-def test_warc_round_trip(spark, split):
+@pytest.mark.parametrize(("split", "few"), [(97, warc.FEW_REVISITS), (1000, 3), (1 << 20, warc.FEW_REVISITS)])
+def test_warc_round_trip(spark, split, few):
     data, pages = pages_table(spark)
     folder = new_path(spark, "warc")
-    warc.write(pages, folder)
+    warc.write(pages, folder, few_revisits=few)
     first = {}
     for i, _, h, _ in data:
         if i is not None:

@@ -135,6 +135,21 @@ def test_byte_bpe(spark, docs, monkeypatch):
     assert bpe.encoded(docs.limit(0), MULTI, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_of_odd_rows(spark):
+    """Long texts with and without white space, repeated and missing ids, columns of the operator's names."""
+    enc = bpe.encoding(MULTI, public_tokenizers.PATTERN)
+    data = [(1, "ab" * 100_000, 7), (2, "ab cd\n" * 30_000, 7), (2, "x", 7), (2, "x", 7), (None, None, 7), (3, "", 7)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, ids int")
+    got = sorted(((r.doc_id or 0), np.frombuffer(r.ids, "<u4").tolist(), bytes(r.decoded)) for r in bpe.encoded(docs, MULTI, public_tokenizers.PATTERN).collect())
+    assert got == sorted((i or 0, enc.encode_ordinary(t or ""), (t or "").encode()) for i, t, _ in data)
+
+
+def test_simhash_dedup_of_clashing_columns(spark):
+    docs = spark.createDataFrame([(3, "a b c d", 1), (1, "a b c d", 2), (None, "a b c d", 3), (5, None, 4), (6, "", 5)], "doc_id long, text string, gone int")
+    left = simhash.dedup(docs)
+    assert left.columns == docs.columns and sorted(r.gone for r in left.collect()) == [2, 3, 4]
+
+
 @settings(max_examples=200, deadline=None)
 @given(PIECES, st.integers(1, 9))
 def test_long_texts_are_cut_at_safe_places(text, long):
