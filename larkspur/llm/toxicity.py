@@ -15,6 +15,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,6 +29,8 @@ from .common import free_names
 #: each; longer texts are not trained on. Scoring has no such bound.
 TOXIC_DOCS, CLEAN_DOCS, TRAIN_CHARS = 1500, 4500, 20_000
 PREFIXES = (3, 4, 5, 6, 7, 8)
+#: By the length of a word, the lengths of its beginnings.
+_CUTS = [tuple(k for k in PREFIXES if k <= n) for n in range(PREFIXES[-1] + 1)]
 #: How many times as many toxic as clean training documents have a marker.
 MARKER_ODDS = 4
 WINDOW = 10  # tokens on either side of a training token
@@ -42,7 +45,7 @@ SCORE = "struct<score: double, spans: array<struct<start: int, end: int>>>"
 def features(word: str) -> list[str]:
     """The word without points around it, in lower case, and its beginnings."""
     w = word.strip(POINTS).lower()
-    return ["w:" + w, *(w[:k] for k in PREFIXES if len(w) >= k)] if w else []
+    return ["w:" + w, *("p:" + w[:k] for k in PREFIXES if len(w) >= k)] if w else []
 
 
 def _sketch(words: list[str]) -> tuple[int, int]:
@@ -144,29 +147,46 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
     trans: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     doc: np.ndarray = field(default_factory=lambda: np.array([-8.0, 0.0, 0.0]))
-    limit: int = 250_000  # words whose scores a worker keeps
+    limit: int = 400_000  # words whose scores a worker keeps
 
     def __post_init__(self) -> None:
         self._known: dict[str, float] = {}
+        self._parts: tuple[dict[str, float], dict[str, float]] | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_known": {}}
+        return self.__dict__ | {"_known": {}, "_parts": None}
+
+    def _of(self, words: set[str]) -> Iterator[tuple[str, float]]:
+        """Words with their scores: the bias and the weights of their features."""
+        whole, lead = (part.get for part in self._parts)
+        longest = len(_CUTS) - 1
+        for word in words:
+            w = word.strip(POINTS).lower()
+            out = self.bias + whole(w, 0.0) if w else self.bias
+            for k in _CUTS[min(len(w), longest)]:
+                out += lead(w[:k], 0.0)
+            yield word, out
 
     def unary(self, texts: list[list[str]]) -> np.ndarray:
-        known, get = self._known, self.weights.get
+        if self._parts is None:
+            self._parts = tuple({f[2:]: x for f, x in self.weights.items() if f[:2] == kind} for kind in ("w:", "p:"))
+        known = self._known
         new = {w for words in texts for w in words if w not in known}
         if len(known) + len(new) > self.limit:
             known.clear()
             new = {w for words in texts for w in words}
-        for w in new:
-            known[w] = sum((x for f in features(w) if (x := get(f)) is not None), self.bias)
+        known.update(self._of(new))
         return np.concatenate([np.fromiter(map(known.__getitem__, words), np.float64, len(words)) for words in texts]) if texts else np.empty(0)
 
     def tag(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Marginals of all tokens, the number of tokens of each text, and the texts' scores."""
-        words = [t.split() for t in texts]
-        n = np.array([len(w) for w in words], np.int64)
-        p = marginals(self.unary(words), n, self.trans)
+        unary, sizes = [np.empty(0)], []
+        for s in range(0, len(texts), 64):  # words of a few texts at a time
+            words = [t.split() for t in texts[s : s + 64]]
+            sizes += map(len, words)
+            unary.append(self.unary(words))
+        n = np.array(sizes, np.int64)
+        p = marginals(np.concatenate(unary), n, self.trans)
         x = _summary(p, n)
         return p, n, 1 / (1 + np.exp(-np.clip(x @ self.doc, -30, 30)))
 
@@ -337,8 +357,8 @@ def scorer(spark, model: Model):
     @F.arrow_udf(SCORE)
     def run(text: pa.Array) -> pa.Array:
         scores, spans = [], []
-        for s in range(0, len(text), 256):
-            a, b = held.value.score([t or "" for t in text.slice(s, 256).to_pylist()])
+        for s in range(0, len(text), 2048):
+            a, b = held.value.score([t or "" for t in text.slice(s, 2048).to_pylist()])
             scores.append(a)
             spans += b
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

@@ -323,7 +323,7 @@ def test_marginals_against_enumeration():
 
 def test_scores_and_spans_by_hand():
     """A small model, its marginals by summing over all labellings, its spans and scores by their definitions."""
-    model = toxicity.Model(bias=-2.0, weights={"w:bad": 4.0, "bad": 0.5, "w:word": -1.0, "vil": 2.5}, trans=np.array([[0.3, -0.4], [-0.2, 0.9]]), doc=np.array([-3.0, 2.0, 3.0]))
+    model = toxicity.Model(bias=-2.0, weights={"w:bad": 4.0, "p:bad": 0.5, "w:word": -1.0, "p:vil": 2.5}, trans=np.array([[0.3, -0.4], [-0.2, 0.9]]), doc=np.array([-3.0, 2.0, 3.0]))
     r = random.Random(4)
     texts = ["", "  ", *(" ".join(r.choices(["bad", "Bad,", "word", "vilest", "calm", "--", "\u00e9t\u00e9"], k=r.randint(1, 9))) + r.choice(["", "\n", "  x"]) for _ in range(40))]
     scores, spans = model.score(texts)
