@@ -345,6 +345,24 @@ def test_look_ups_by_id_reach_the_scan(spark):
     assert "EqualTo(s_nationkey,3)" in plan(g.relationships(tables.NATION * tables.STEP + 3))
 
 
+def test_adjacency_is_not_shuffled_again(spark):
+    """A level's join with the bucketed adjacency only moves the level."""
+    from larkspur.plans.steps import keyed, superseded
+
+    toy = Toy(spark, 1)
+    adj, before = keyed(toy.graph.adjacency(), "frm"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = toy.start(*range(toy.n)).join(adj, F.col("id") == F.col("frm"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        assert got.count() == sum(len(toy.ways(v)) for v in range(toy.n))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    superseded(adj)
+    assert not spark.catalog.tableExists(adj._table)
+
+
 def test_predicates(spark):
     df = spark.createDataFrame([(1, "oak", ["x", "y"], 5), (2, None, None, None), (3, "oak\n", ["z"], 50)], "id int, s string, tags array<string>, n int")
     hits = lambda c: [r["id"] for r in df.where(c).collect()]
