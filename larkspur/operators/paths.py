@@ -187,7 +187,7 @@ def predecessors(graph: PropertyGraph, dist: DataFrame, expander: Expander, cost
 
 def path_counts(graph: PropertyGraph, dist: DataFrame, expander: Expander, dag: DataFrame | None = None) -> DataFrame:
     """(source, node, dist, paths): how many shortest paths lead to each node. `dist` comes from hop_distances, `dag` from predecessors."""
-    dist = dist if hasattr(dist, "_step") else settled(dist, "dist")
+    dist = dist if "_step" in vars(dist) else settled(dist, "dist")
     dag = settled(predecessors(graph, dist, expander).select("source", "node", "pred"), "dag") if dag is None else dag
     top = dist.agg(F.max("dist")).first()[0] or 0
     levels = [dist.where("dist = 0").select("source", "node", "dist", F.lit(1).cast("long").alias("paths"))]

@@ -58,9 +58,10 @@ def settled(df: DataFrame, name: str = "step") -> DataFrame:
 def superseded(*steps: DataFrame | None) -> None:
     """Deletes the files of steps that nothing reads any more."""
     for df in steps:
-        if table := getattr(df, "_table", None):
+        own = {} if df is None else vars(df)  # not getattr, which finds columns too
+        if table := own.get("_table"):
             df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
-        if path := getattr(df, "_step", None):
+        if path := own.get("_step"):
             remove(df.sparkSession, path)
 
 
