@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_dedup
 from .common import components, free_names, written
 
 RADIUS, SEED = 3, 42
@@ -173,11 +174,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
     """The documents of `docs` that have the smallest id of their group, with all their columns; rows without an id stay.
 
-    Rows that repeat the id that stays all stay. Columns may have any names.
+    Groups are those of fingerprints at RADIUS bits or, with `similarity`, of
+    sets of shingles at that Jaccard similarity, which masks over 64 bits cannot
+    reach (see near_dedup). Rows that repeat the id that stays all stay. Columns
+    may have any names.
     """
+    if similarity is not None:
+        return near_dedup.dedup(docs, id_col, text_col, width, similarity)
     (gone,) = free_names(docs, "gone")
     dropped = groups(docs, id_col, text_col, width).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
     return docs.join(written(dropped, "gone"), F.col(id_col) == F.col(gone), "left_anti")

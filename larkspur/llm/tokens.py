@@ -28,7 +28,7 @@ END_ID = 1
 #: Bytes of text that are cut at a time; a longer text is cut by itself.
 SLICE = 4 << 20
 #: Chunks and bytes of chunks that a worker keeps before it begins anew.
-KEPT, KEPT_BYTES = 500_000, 32 << 20
+KEPT, KEPT_BYTES = 300_000, 24 << 20
 
 #: Classes of bytes; only those below UNSURE are known not to be white space.
 LETTER, POINT, OTHER, UNSURE, WHITE, SPACE = range(6)

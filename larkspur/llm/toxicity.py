@@ -147,7 +147,7 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
     trans: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     doc: np.ndarray = field(default_factory=lambda: np.array([-8.0, 0.0, 0.0]))
-    limit: int = 400_000  # words whose scores a worker keeps
+    limit: int = 200_000  # words whose scores a worker keeps
 
     def __post_init__(self) -> None:
         self._known: dict[str, float] = {}
@@ -222,15 +222,24 @@ def _summary(p: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _markers(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
-    """Features that stand significantly, and mostly, in toxic documents."""
-    pos = Counter(f for words in toxic for f in {f for w in set(words) for f in features(w)})
-    kinds = len(pos)
-    pos = Counter({f: k for f, k in pos.items() if k >= 3})
-    neg = Counter(f for words in clean for f in {f for w in set(words) for f in features(w) if f in pos})
+    """Features that stand significantly, and mostly, in toxic documents. One kind of them is counted at a time."""
+    plain: dict[str, str] = {}
+
+    def distinct(words: list[str]) -> set[str]:
+        return {plain.get(w) or plain.setdefault(w, w.strip(POINTS).lower()) for w in words} - {""}
+
+    bad, good = [distinct(w) for w in toxic], [distinct(w) for w in clean]
     base = len(toxic) / (len(toxic) + len(clean))
+    kinds, found = 0, []
+    for n in (0, *PREFIXES):
+        cut = (lambda words, n=n: {w[:n] for w in words if len(w) >= n}) if n else (lambda words: words)
+        pos = Counter(f for words in bad for f in cut(words))
+        kinds += len(pos)
+        pos = {f: k for f, k in pos.items() if k >= 3}
+        neg = Counter(f for words in good for f in cut(words) if f in pos)
+        found += [(("p:" if n else "w:") + f, k, neg[f]) for f, k in pos.items()]
     out = set()
-    for f, k in pos.items():
-        m = neg[f]
+    for f, k, m in found:
         g = k * math.log(k / (k + m) / base) + (m * math.log(m / (k + m) / (1 - base)) if m else 0)
         if k >= MARKER_ODDS * m and g >= math.log(kinds) + 2:
             out.add(f)
@@ -281,10 +290,11 @@ def fit(texts: list[str], labels: list[int], rounds: int = 80, seed: int = 7) ->
     pair = mask[:, 1:] & mask[:, :-1]
     seen_pairs = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & pair).sum() for b in (0, 1)] for a in (0, 1)], float)
     target = np.bincount(flat[live & (y.ravel() == 1)].ravel(), minlength=len(theta)).astype(float)
+    columns = [np.ascontiguousarray(flat[live, j]) for j in range(flat.shape[1])]
     size = float(len(chains))
     m1, m2 = np.zeros(len(theta) + 4), np.zeros(len(theta) + 4)
     for step in range(1, rounds + 1):
-        u = theta[ids].sum(axis=2)
+        u = sum(theta[ids[:, :, j]] for j in range(ids.shape[2]))  # column by column: the driver's memory is small
         e = np.stack([np.ones_like(u), np.exp(np.clip(u, -30, 30))], axis=2)
         e[~mask] = 1
         t = np.exp(np.clip(trans, -20, 20))
@@ -303,7 +313,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = 80, seed: int = 7) ->
         p = (p[:, :, 1] / p.sum(axis=2)).ravel()
         two = alpha[:, :-1, :, None] * t * (e[:, 1:] * beta[:, 1:])[:, :, None, :]
         two = two / two.sum(axis=(2, 3), keepdims=True)
-        expect = np.bincount(flat[live].ravel(), np.repeat(p[live], flat.shape[1]), len(theta))
+        p = p[live]
+        expect = sum(np.bincount(column, p, len(theta)) for column in columns)
         g = (target - expect) / size - 1e-4 * theta
         g[0] = 0
         gt = (seen_pairs - two[pair].sum(axis=0)) / size - 1e-4 * trans
