@@ -55,6 +55,22 @@ class Levels:
         return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
 
 
+#: Steps that are looked ahead where every node has one way at most; a power of two.
+AHEAD = 16
+
+
+def _chains(adj: DataFrame) -> DataFrame:
+    """(frm, path): the next AHEAD nodes of every node, by doubling; `adj` has one row a node at most."""
+    ahead, size = adj.select("frm", F.array("to").alias("path")), 1
+    while size < AHEAD:
+        rest = ahead.select(F.col("frm").alias("__at"), F.col("path").alias("__rest"))
+        both = ahead.join(rest, (F.size("path") == size) & (F.element_at("path", -1) == F.col("__at")), "left")
+        before, ahead = ahead, settled(both.select("frm", F.concat("path", F.coalesce("__rest", F.expr("cast(array() as array<bigint>)"))).alias("path")), "ahead")
+        superseded(before)
+        size *= 2
+    return ahead
+
+
 def reach(adjacency: DataFrame, starts: DataFrame, max_depth: int | None = None, target: DataFrame | None = None) -> DataFrame:
     """(root, node, depth): the least number of steps from each start (column id) to every node, or until `target` (column node) is reached by all starts.
 
@@ -63,21 +79,28 @@ def reach(adjacency: DataFrame, starts: DataFrame, max_depth: int | None = None,
     """
     adj = keyed(adjacency.select("frm", "to").distinct(), "frm", "adjacency")
     widest = adj.groupBy("frm").count().agg(F.max("count")).first()[0] or 0
-    stride = 8 if widest <= 1 else 4 if widest == 2 else 1
+    stride = AHEAD if widest <= 1 else 4 if widest == 2 else 1
+    ahead = _chains(adj) if widest <= 1 else None
     levels = Levels(starts.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct())
     roots, depth = (levels.last.count(), 0) if target is not None else (0, 0)
     while max_depth is None or depth < max_depth:
         if target is not None and levels.all().join(target, "node", "left_semi").select("root").distinct().count() == roots:
             break
         tip, found = levels.last.where(F.col("depth") == depth).select("root", "node"), []
-        for k in range(1, min(stride, (max_depth or depth + stride) - depth) + 1):
-            tip = tip.join(adj, F.col("node") == F.col("frm")).select("root", F.col("to").alias("node"))
-            found.append(tip.withColumn("depth", F.lit(depth + k)))
+        steps = min(stride, stride if max_depth is None else max_depth - depth)
+        if ahead is not None:
+            way = tip.join(ahead, F.col("node") == F.col("frm")).select("root", F.posexplode(F.slice("path", 1, steps)).alias("at", "node"))
+            found = [way.select("root", "node", (F.col("at") + depth + 1).alias("depth"))]
+        else:
+            for k in range(1, steps + 1):
+                tip = tip.join(adj, F.col("node") == F.col("frm")).select("root", F.col("to").alias("node"))
+                found.append(tip.withColumn("depth", F.lit(depth + k)))
         new = reduce(DataFrame.union, found).groupBy("root", "node").agg(F.min("depth").alias("depth"))
-        depth += len(found)
+        depth += steps
         new = levels.put(new.join(levels.all().select("root", "node"), ["root", "node"], "left_anti"))
         if new.where(F.col("depth") == depth).isEmpty():
             break
+    superseded(ahead)
     superseded(adj)
     out = levels.all()
     out._step = levels.path
