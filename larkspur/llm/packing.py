@@ -27,6 +27,8 @@ from .common import free_names, written
 from .tokens import token_table
 
 WINDOW, GRAIN = 2048, 256
+#: Chunks that a worker keeps; fewer than elsewhere, since packing shares workers with what runs before it.
+KEPT = 300_000
 #: Most queues: their totals are sent to every task, five numbers each (2.6 MB).
 MAX_QUEUES = 1 << 16
 
@@ -143,7 +145,7 @@ def pieces(docs: DataFrame, tokenizer: str, weights: dict[str, float] | None = N
     spark = docs.sparkSession
     (name,) = free_names(docs, "queue")
     queued = docs.withColumn(name, queue_of(docs, source_col, bool(weights)))
-    tokens = written(token_table(queued, tokenizer, False, id_col, text_col, name), "tokens")
+    tokens = written(token_table(queued, tokenizer, False, id_col, text_col, name, KEPT), "tokens")
     parts = written(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "parts")
     totals = sorted((r["queue"], r["n"]) for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # MAX_QUEUES rows at most
     low = min(weights.values()) if weights else 0

@@ -28,7 +28,7 @@ END_ID = 1
 #: Bytes of text that are cut at a time; a longer text is cut by itself.
 SLICE = 4 << 20
 #: Chunks and bytes of chunks that a worker keeps before it begins anew.
-KEPT, KEPT_BYTES = 300_000, 24 << 20
+KEPT, KEPT_BYTES = 500_000, 32 << 20
 
 #: Classes of bytes; only those below UNSURE are known not to be white space.
 LETTER, POINT, OTHER, UNSURE, WHITE, SPACE = range(6)
@@ -275,11 +275,11 @@ class ChunkEncoder:
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder(path: str, drops_space: bool) -> ChunkEncoder:
+def encoder(path: str, drops_space: bool, kept: int = KEPT) -> ChunkEncoder:
     """One encoder for each worker process and vocabulary."""
-    key = (path, drops_space)
+    key = (path, drops_space, kept)
     if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(path, drops_space)
+        _ENCODERS[key] = ChunkEncoder(path, drops_space, kept)
     return _ENCODERS[key]
 
 
@@ -291,18 +291,19 @@ def binary(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
 
 
-def token_table(docs: DataFrame, path: str, drops_space: bool, id_col: str = "doc_id", text_col: str = "text", queue_col: str | None = None) -> DataFrame:
+def token_table(docs: DataFrame, path: str, drops_space: bool, id_col: str = "doc_id", text_col: str = "text", queue_col: str | None = None, kept: int = KEPT) -> DataFrame:
     """(doc_id, ids binary, n, queue, part, at): the ids of each document as uint16, end id included.
 
     A null text is empty and gives the end id alone. `part` is the task that
     read the row, `at` the ids of the rows of the same queue before it there.
+    `kept`: chunks that a worker keeps.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, at = TaskContext.get().partitionId(), {}
-        enc = encoder(path, drops_space)
+        enc = encoder(path, drops_space, kept)
         for whole in batches:
             done = 0
             for texts in enc._slices(whole.column(1)):
