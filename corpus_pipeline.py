@@ -20,7 +20,7 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies stays: SimHash of five-word shingles, Jaccard similarity of 0.8 or more."""
     return simhash.dedup(docs, width=5, similarity=0.8)
 
 

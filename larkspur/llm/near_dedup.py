@@ -1,10 +1,10 @@
-"""Near copies by similarity of word shingles, for SimHash deduplication beyond its radius: MinHash candidates, exact verification.
+"""Near copies by similarity of word shingles: SimHash candidates, MinHash candidates beyond its radius, exact verification.
 
 Two documents are near copies if the Jaccard similarity of their sets of
 five-word shingles is 0.8 or more. Fingerprints of 64 bits cannot find them: at
 0.8 SimHash differs in about 10 bits, in some pairs in 20, which no covering
-family of usable size reaches. Candidates therefore share one of BANDS bands of
-ROWS minima; a pair at exactly 0.8 is missed with probability
+family of usable size reaches. Besides pairs that SimHash links (`given`),
+candidates therefore are those that share one of BANDS bands of ROWS minima; a pair at exactly 0.8 is missed with probability
 (1 - 0.8**5)**40 = 1.2e-7, closer ones less often. Nothing is linked that is
 not verified on the whole sets of shingles.
 
@@ -183,9 +183,12 @@ def _apart(left: DataFrame, sets: DataFrame, similar: float, block: int) -> Data
     return rows.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similar: float = SIMILAR, block: int = BLOCK) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similar: float = SIMILAR, block: int = BLOCK, given: DataFrame | None = None) -> DataFrame:
     """(doc_id, component_id) of every row with an id: the smallest id that is reachable over near copies.
 
+    `given`: pairs of ids (a, b) that another method took for near copies; they
+    are verified like the candidates found here.
+
     Equal sets of shingles are folded first. Rows that repeat an id should
     repeat its text; else each of its texts has a row in the result. A null text
     is empty. An empty table gives an empty result.
@@ -200,8 +203,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     pivots = members.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("w", F.bitwise_not("node").alias("down"))).alias("best"))
     pivots = written(pivots.select("bucket", F.bitwise_not("best.down").alias("pivot")), "pivots")
     star = written(members.join(pivots, "bucket").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    of = weight.select("node")
+    if given is not None:
+        node_of = sig.select("doc_id", "key").join(folded.select("key", "node"), "key")
+        first, second = node_of.select(F.col("doc_id").alias("a"), F.col("node").alias("x")), node_of.select(F.col("doc_id").alias("b"), F.col("node").alias("y"))
+        star = written(star.union(given.join(first, "a").join(second, "b").where("x <> y").select("x", "y")).distinct(), "pairs")
+        of = written(of.union(star.select("a")).union(star.select("b")).distinct(), "involved")
     (involved,) = free_names(docs, "involved")
-    some = docs.join(weight.select(F.col("node").alias(involved)), F.col(id_col).cast("long") == F.col(involved), "left_semi")
+    some = docs.join(of.select(F.col("node").alias(involved)), F.col(id_col).cast("long") == F.col(involved), "left_semi")
     sets = written(shingle_sets(some, id_col, text_col, width).dropDuplicates(), "shingles")
 
     links = written(_verified(star, sets, similar), "links")
@@ -219,12 +228,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     return sig.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similar: float = SIMILAR, given: DataFrame | None = None) -> DataFrame:
     """The documents of `docs` that have the smallest id of their group, with all their columns; rows without an id stay.
 
     An id that repeats goes if one of its texts has a copy with a smaller id.
     Columns may have any names.
     """
     (name,) = free_names(docs, "gone")
-    gone = groups(docs, id_col, text_col, width, similar).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    gone = groups(docs, id_col, text_col, width, similar, given=given).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(written(gone, "gone"), F.col(id_col) == F.col(name), "left_anti")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_dedup
-from .common import components, free_names, written
+from .common import components, free_names, superseded, written
 
 RADIUS, SEED = 3, 42
 #: Largest bucket whose members are compared directly; 2**8 ends the recursion.
@@ -174,16 +174,29 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """(a, b) pairs of ids whose fingerprints are linked, which connect all that the fingerprints link."""
+    fps = written(fingerprints(docs, id_col, text_col, width).where("doc_id is not null"), "fingerprints")
+    low = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+    same = fps.join(low, "fp").where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
+    near = written(links(low.select("fp")), "links").toDF("x", "y").distinct()
+    first, second = low.toDF("x", "a"), low.toDF("y", "b")
+    out = written(same.union(near.join(first, "x").join(second, "y").select("a", "b")), "candidates")
+    superseded(fps, low)
+    return out
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
     """The documents of `docs` that have the smallest id of their group, with all their columns; rows without an id stay.
 
-    Groups are those of fingerprints at RADIUS bits or, with `similarity`, of
-    sets of shingles at that Jaccard similarity, which masks over 64 bits cannot
-    reach (see near_dedup). Rows that repeat the id that stays all stay. Columns
+    Groups are those of fingerprints at RADIUS bits. With `similarity`, what the
+    fingerprints link is verified by the Jaccard similarity of the sets of
+    shingles; pairs at that similarity that differ in more bits, which masks over
+    64 bits cannot reach, are added by near_dedup. Rows that repeat the id that stays all stay. Columns
     may have any names.
     """
     if similarity is not None:
-        return near_dedup.dedup(docs, id_col, text_col, width, similarity)
+        return near_dedup.dedup(docs, id_col, text_col, width, similarity, candidates(docs, id_col, text_col, width))
     (gone,) = free_names(docs, "gone")
     dropped = groups(docs, id_col, text_col, width).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
     return docs.join(written(dropped, "gone"), F.col(id_col) == F.col(gone), "left_anti")
